@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm._common import table
+from quarry.llm import line_dedup as lines
+from quarry.llm.mixing import mix_sources
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import fit_quality, grades_of, score_quality
 from quarry.llm.token_binary import token_binary
@@ -27,15 +29,25 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs).select("doc_id", "source", "block", "slot", "place")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, grades_of(table(spark, sf_dir, "labels")))
     return score_quality(docs, model).select("doc_id", "expected_grade", "p_top", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_binary, op5_quality_classifier, op9_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_binary, op4_mix_sources, op5_quality_classifier, op8_line_dedup, op9_best_fit_packing)}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import table
 from quarry.llm import line_dedup as lines
+from quarry.llm.jaccard import jaccard_components
 from quarry.llm.mixing import mix_sources
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import fit_quality, grades_of, score_quality
@@ -14,6 +15,10 @@ from quarry.llm.token_binary import token_binary
 from quarry.llm.token_counts import token_counts
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,5 +54,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_binary, op4_mix_sources, op5_quality_classifier, op8_line_dedup, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_token_binary, op4_mix_sources, op5_quality_classifier, op8_line_dedup, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}

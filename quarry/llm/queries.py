@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import table
 from quarry.llm import line_dedup as lines
+from quarry.llm import oracles
+from quarry.llm.ann import nearest
+from quarry.llm.embedding_dedup import near_duplicates
 from quarry.llm.jaccard import jaccard_components
 from quarry.llm.mixing import mix_sources
 from quarry.llm.packing import pack_documents
@@ -45,6 +48,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "expected_grade", "p_top", "kept")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.line_dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", "text")
@@ -54,5 +61,22 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_token_binary, op4_mix_sources, op5_quality_classifier, op8_line_dedup, op9_best_fit_packing)}
-ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_token_counts,
+        op3_token_binary,
+        op4_mix_sources,
+        op5_quality_classifier,
+        op7_nearest_neighbours,
+        op8_line_dedup,
+        op9_best_fit_packing,
+        op10_embedding_dedup,
+    )
+}
+ORACLES = {"op1_ngram_jaccard": oracles.OP1, "op8_line_dedup": lines.ORACLE, "op10_embedding_dedup": oracles.OP10}

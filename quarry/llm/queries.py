@@ -11,6 +11,7 @@ from quarry.llm import oracles
 from quarry.llm.ann import nearest
 from quarry.llm.embedding_dedup import near_duplicates
 from quarry.llm.jaccard import jaccard_components
+from quarry.llm.kneser_ney import held_out, score, train
 from quarry.llm.mixing import mix_sources
 from quarry.llm.packing import pack_documents
 from quarry.llm.quality import fit_quality, grades_of, score_quality
@@ -48,6 +49,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "expected_grade", "p_top", "kept")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.where("NOT held_out"))
+    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -73,6 +80,7 @@ QUERIES = {
         op3_token_binary,
         op4_mix_sources,
         op5_quality_classifier,
+        op6_language_model,
         op7_nearest_neighbours,
         op8_line_dedup,
         op9_best_fit_packing,

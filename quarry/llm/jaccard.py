@@ -37,11 +37,16 @@ NUM, DEN = 80, 100
 BAND = 1.6
 #: Segments are so many times H + 1: room for those that a set leaves empty.
 SPARE = 1.25
-#: A shingle is frequent if a task meets it in this share of its texts (and in LEAST of them); so many are kept.
-SHARE, LEAST, FREQUENT = 1 / 1000, 16, 1 << 19
+#: A task hands on the shingles that this share of its texts has (two at least); frequent are those of which the tasks count more
+#: than LEAST and this share of all texts, the most frequent ones first, so many at most.
+SHARE, LEAST, FREQUENT = 1 / 4000, 16, 1 << 19
+#: A sketch holds the parity of the shingles in each of so many cells a shingle, rounded up to a power of two.
+CELLS = 4
 #: Seeds of the one-deletion way, then single shingles.
 SEEDS = 4
 GROUP = 8
+MANY = 128
+EPS = 1e-9
 #: Index entries that a task gathers before it hands them on, and that one part holds at most, about.
 FLUSH, PART = 1 << 22, 1 << 22
 #: Partners of one centre that are verified in one run.
@@ -113,6 +118,27 @@ def _segments(rare: np.ndarray, m: int, j: int) -> tuple[np.ndarray, np.ndarray]
     return mix(np.add.reduceat(mix(rare), first) ^ mix(cell[first] + np.uint64(j << 40))), first
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the number of shingles in each cell. Two sets differ in as many shingles at least as their sketches in bits."""
+    if not len(shingles):
+        return b""
+    cells = max(64, 1 << int(CELLS * len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles + np.uint64(77)) >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_distance(x: bytes, y: bytes, n: int, m: int) -> float:
+    """A lower bound of the Jaccard distance of two sets of n and m shingles, from their sketches."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # halves fold onto each other: cell numbers are the low bits
+        if len(a) < len(b):
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+        else:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    bits = max(int(np.bitwise_count(a ^ b).sum()), abs(n - m))
+    return 2 * bits / (n + m + bits) if n + m else 0.0
+
+
 def shingle_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document (kind 0: doc_id, n, a and b, the set's fingerprint) and the frequent shingles of each task (kind 1: a, n)."""
     small_batches(docs.sparkSession)
@@ -134,7 +160,7 @@ def shingle_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             rows = []
             for d, s in zip(batch["d"], shingle_sets(list(batch["t"]), width)):
                 a, b = fingerprint(s)
-                rows.append((0, None if pd.isna(d) else int(d), len(s), a, b))
+                rows.append((0, None if pd.isna(d) else int(d), len(s), a, b, sketch(s)))
                 if len(s) and a not in seen:
                     seen.add(a)
                     texts += 1
@@ -142,16 +168,16 @@ def shingle_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
                     size += len(s)
                     if size > FLUSH:
                         fold()
-            out = pd.DataFrame(rows, columns=["kind", "doc_id", "n", "a", "b"])
+            out = pd.DataFrame(rows, columns=["kind", "doc_id", "n", "a", "b", "sketch"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
         if held:
             fold()
         if counts:
-            often = counts[1] >= max(LEAST, SHARE * texts)
-            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": counts[1][often], "a": counts[0][often].view(np.int64), "b": 0})
+            often = counts[1] >= max(2, SHARE * texts)
+            yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": counts[1][often], "a": counts[0][often].view(np.int64), "b": 0, "sketch": None})
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(read, "kind int, doc_id long, n long, a long, b long")
+    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(read, "kind int, doc_id long, n long, a long, b long, sketch binary")
 
 
 def _index(docs: DataFrame, frequent, all_bands, parts: int, num: int, den: int, width: int, doc_id: str, text: str) -> DataFrame:
@@ -287,43 +313,64 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, d
     return sent.repartition(partitions(docs.sparkSession), "a", "run").sortWithinPartitions("a", "run", F.desc("is_a"), "b").mapInPandas(compare, "a long, b long, inter long, either long").distinct()
 
 
+def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs with `far`, a lower bound of their distance."""
+
+    @F.pandas_udf("double")
+    def bound(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([least_distance(*r) for r in zip(x, y, n, m)], dtype="float64")
+
+    left = sketches.toDF("a", "n", "__x")
+    right = sketches.toDF("b", "m", "__y")
+    return pairs.join(left, "a").join(right, "b").withColumn("far", bound("__x", "__y", "n", "m")).select("a", "b", "far")
+
+
+def _checked(docs, classes, sketches, pairs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The verified pairs (a, b, inter, either), and for every pair (a, b, far): its distance, or a bound above the threshold."""
+    screened = saved(_screened(pairs, sketches), "screened")
+    limit = (den - num) / den
+    verified = saved(_verified(docs, classes, screened.where(F.col("far") <= limit + EPS).select("a", "b"), num, den, width), "verified")
+    exact = verified.select("a", "b", (1 - F.col("inter") / F.col("either")).alias("exact"))
+    known = screened.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("exact", "far").alias("far"))
+    return verified, known
+
+
 def _linked(verified: DataFrame, num: int, den: int) -> DataFrame:
     return verified.where(F.col("inter") * den >= F.col("either") * num)
 
 
-def _rest(docs, classes, large: DataFrame, verified: DataFrame, num: int, den: int, width: int) -> list[DataFrame]:
+def _rest(docs, classes, sketches, large: DataFrame, known: DataFrame, num: int, den: int, width: int) -> list[DataFrame]:
     """Links inside large groups that the pairs with their centres leave open.
 
     A group keeps the classes not linked with its centre c. One of them, y, may link with another such class, or with a class x
     that is linked with c: as distances obey the triangle inequality, only if y is within twice the threshold of c and x
-    no nearer to c than y's distance less the threshold. The rest forms the group of the next round, with a new centre.
+    no nearer to c than y's distance less the threshold. A rest of up to MANY gives all its pairs, whose sketches tell most of them
+    apart; a larger one forms the group of the next round, with a new centre.
     """
     found, limit = [], (den - num) / den
     while True:
-        centres = large.groupBy("g").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n"))
-        known = verified.select("a", "b", (1 - F.col("inter") / F.col("either")).alias("far"))
-        rows = saved(large.join(centres, "g").where("a <> b").join(known, ["a", "b"], "left").select("g", "a", "b", F.coalesce("far", F.lit(1.0)).alias("far")), "group-rows")
-        eps = 1e-9
-        near = rows.where(F.col("far") <= limit + eps)
-        rest = rows.where(F.col("far") > limit - eps)
+        centres = large.groupBy("g").agg(F.min("b").alias("a"))
+        rows = saved(large.join(centres, "g").where("a <> b").join(known, ["a", "b"], "left").select("g", "b", F.coalesce("far", F.lit(1.0)).alias("far")), "group-rows")
+        near = rows.where(F.col("far") <= limit + EPS)
+        rest = rows.where(F.col("far") > limit - EPS)
         open_ = rest.groupBy("g").agg(F.min("far").alias("least"), F.count(F.lit(1)).alias("n"))
         if open_.isEmpty():
             drop_saved(docs.sparkSession, rows)
             return found
-        y = rest.where(F.col("far") <= 2 * limit + eps).select("g", F.col("b").alias("y"), F.col("far").alias("fy"))
-        x = near.join(open_.where(F.col("least") <= 2 * limit + eps), "g").where(F.col("far") >= F.col("least") - limit - eps).select("g", F.col("b").alias("x"), F.col("far").alias("fx"))
-        cross = y.join(x, "g").where("x <> y").where(F.col("fx") >= F.col("fy") - limit - eps).select("x", "y")
-        few = rest.join(open_.where(F.col("n") <= 4 * GROUP).select("g"), "g").select("g", "b")
+        y = rest.where(F.col("far") <= 2 * limit + EPS).select("g", F.col("b").alias("y"), F.col("far").alias("fy"))
+        x = near.join(open_.where(F.col("least") <= 2 * limit + EPS), "g").where(F.col("far") >= F.col("least") - limit - EPS).select("g", F.col("b").alias("x"), F.col("far").alias("fx"))
+        cross = y.join(x, "g").where("x <> y").where(F.col("fx") >= F.col("fy") - limit - EPS).select("x", "y")
+        few = rest.join(open_.where(F.col("n") <= MANY).select("g"), "g").select("g", "b")
         inside = few.select("g", F.col("b").alias("x")).join(few.select("g", F.col("b").alias("y")), "g").where("x < y").select("x", "y")
-        large = saved(rest.join(open_.where(F.col("n") > 4 * GROUP).select("g"), "g").select("g", "b"), "large")
+        large = saved(rest.join(open_.where(F.col("n") > MANY).select("g"), "g").select("g", "b"), "large")
         stars = large.join(large.groupBy("g").agg(F.min("b").alias("x")), "g").where("x <> b").select("x", F.col("b").alias("y"))
         sizes = classes.select("a", "n")
         pairs = cross.unionAll(inside).unionAll(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = pairs.join(verified.select("a", "b"), ["a", "b"], "left_anti").join(sizes, "a").join(sizes.toDF("b", "m"), "b")
+        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(sizes, "a").join(sizes.toDF("b", "m"), "b")
         pairs = saved(pairs.where(F.least("n", "m") * den >= F.greatest("n", "m") * num).select("a", "b"), "pairs")
-        more = saved(_verified(docs, classes, pairs, num, den, width), "verified")
+        more, again = _checked(docs, classes, sketches, pairs, num, den, width)
+        known = saved(known.unionByName(again), "known")
         found.append(_linked(more, num, den))
-        verified = more
         drop_saved(docs.sparkSession, rows, pairs)
 
 
@@ -341,7 +388,8 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, width: i
     rows = table.where("kind = 0")
     classes = saved(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")).withColumnRenamed("b", "fb"), "classes")
     total = classes.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    often = table.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).select("a").toPandas()["a"]
+    many = max(LEAST, SHARE * rows.count())
+    often = table.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > many).orderBy(F.desc("n"), "a").limit(FREQUENT).select("a").toPandas()["a"]
     frequent = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(np.uint64)))
     all_bands = bands(2 * (total["most"] or 1))
     parts = max(partitions(spark), (total["n"] or 0) // PART + 1)
@@ -350,9 +398,12 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, width: i
     groups = saved(_groups(index, num, den), "groups")
     small_batches(spark)
     pairs = saved(groups.where("kind = 0").select("a", "b").distinct(), "pairs")
-    verified = saved(_verified(own, classes, pairs, num, den, width), "verified")
+    touched = pairs.select("a").unionAll(pairs.select("b")).unionAll(groups.where("kind = 1").select("b")).distinct()
+    met = classes.join(touched, "a", "left_semi").select("n", "a", "fb", F.col("rep").alias("doc_id"))
+    sketches = saved(rows.withColumnRenamed("b", "fb").join(met, ["n", "a", "fb", "doc_id"], "left_semi").select("a", "n", "sketch").dropDuplicates(["a"]), "sketches")
+    verified, known = _checked(own, classes, sketches, pairs, num, den, width)
     links = [_linked(verified, num, den)]
-    links += _rest(own, classes, groups.where("kind = 1").select("g", "b").distinct(), verified, num, den, width)
+    links += _rest(own, classes, sketches, groups.where("kind = 1").select("g", "b").distinct(), known, num, den, width)
     linked = links[0]
     for more in links[1:]:
         linked = linked.unionAll(more)

@@ -22,6 +22,8 @@ from quarry.llm.vectors import key_of, matrix, streamed, valid
 
 #: Vectors of the sample that fits centroids and codewords, lists at most, subspaces, codewords of each.
 SAMPLE, LISTS, SUBSPACES, WORDS = 8192, 256, 8, 32
+#: Classes of a list, about. A vector is sent once to each list that it probes, so fewer, larger lists move less.
+OF_LIST = 4096
 #: Members that one block of a list holds.
 BLOCK = 1024
 EPS = 1e-9
@@ -102,7 +104,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_column: str = "
     for dim, n in sizes.items():
         x = [v for v in sample if len(v) == dim] or [np.eye(1, dim)[0]]
         x = matrix(pd.Series(x))
-        fitted[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(LISTS, n // 512)))
+        fitted[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(LISTS, n // OF_LIST)))
     model = spark.sparkContext.broadcast(fitted)  # LISTS centroids and SUBSPACES * WORDS codewords of each length
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -98,7 +98,8 @@ class Segment:
         return value
 
     def slice(self, start: int, end: int) -> np.ndarray:
-        """The ids from start to end, by the same steps for all places at once."""
+        """The ids from start to end (or to the last), by the same steps for all places at once."""
+        end = min(end, self.n_tokens)
         values = np.zeros(max(0, end - start), dtype="<u4")
         where, first, size = np.arange(len(values)), start, len(values)
         for level, (chunks, bits, directory) in enumerate(self.levels):

@@ -398,3 +398,39 @@ def uri_path(spark, sf_dir):
 @query("SELECT p_partkey, '$' || lpad(printf('%X', p_partkey * 17), greatest(4, length(printf('%X', p_partkey * 17)))::INTEGER, '0') AS address, p_brand || '::' || p_type || '::' || p_name AS qualified FROM part")
 def address_detail(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.address_text(F.col("p_partkey") * 17).alias("address"), X.qualified_name(F.array("p_brand", "p_type"), F.col("p_name")).alias("qualified"))
+
+
+# ---- the assembly index, over a project written from the tables: a file for each order, which calls its line items' parts and the next order
+
+
+def _project(spark, sf_dir) -> DataFrame:
+    calls = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), lambda p: F.concat(F.lit("  lda part_"), p)), "\n").alias("body"))
+    own = read(spark, sf_dir, "orders").select("o_orderkey").join(calls, "o_orderkey", "left")
+    text = F.concat(F.lit(".import p"), F.col("o_orderkey") + 1, F.lit("\n.export p"), "o_orderkey", F.lit("\n; one order\n.proc p"), "o_orderkey", F.lit("\n  jsr p"), F.col("o_orderkey") + 1, F.lit("\n"), F.coalesce("body", F.lit("")), F.lit("\n.endproc\n"))
+    return own.select(F.concat(F.lit("orders/o"), "o_orderkey", F.lit(".s")).alias("uri"), text.alias("text"))
+
+
+@query(
+    """SELECT 'orders/o' || o_orderkey || '.s' AS uri, 2::BIGINT AS n_symbols, 2 + count(l_orderkey)::BIGINT AS n_references
+       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
+)
+def asm_index(spark, sf_dir):
+    from quarry.sources import project
+
+    files = _project(spark, sf_dir)
+    count = lambda rows, name: rows.groupBy("uri").agg(F.count(F.lit(1)).alias(name))
+    return count(project.symbols(files), "n_symbols").join(count(project.references(files), "n_references"), "uri")
+
+
+@query(
+    """SELECT o.o_orderkey AS id, 'orders/o' || coalesce(n.o_orderkey, o.o_orderkey) || '.s' AS uri, CASE WHEN n.o_orderkey IS NULL THEN 'import' ELSE 'proc' END AS kind
+       FROM orders o LEFT JOIN orders n ON n.o_orderkey = o.o_orderkey + 1"""
+)
+def asm_definitions(spark, sf_dir):
+    from quarry.plans import intel
+    from quarry.sources import project
+
+    files = _project(spark, sf_dir)
+    key = F.col("o_orderkey")
+    cursors = read(spark, sf_dir, "orders").select(key.alias("id"), F.concat(F.lit("orders/o"), key, F.lit(".s")).alias("uri"), F.lit(4).alias("line"), F.concat(F.lit("p"), key + 1).alias("name"))
+    return intel.definitions(cursors, project.symbols(files), project.exports(files)).select("id", "uri", "kind")

@@ -100,7 +100,7 @@ def test_streaming_burst(spark, tmp_path):
     rows = [("s", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), "count") for t in range(3)]
     spark.createDataFrame(rows, "session string, ts timestamp, kind string").write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("session string, ts timestamp, kind string").parquet(str(tmp_path / "in"))
-    q = stream(events, Burst(), "session", "ts", "kind").writeStream.format("memory").queryName("denials").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stream(events, Burst(), "session", "ts", "kind").writeStream.format("memory").queryName("denials").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert sorted((r["at"], r["denied"]) for r in spark.table("denials").collect())[-1][1] is True

@@ -13,10 +13,10 @@ segments, m set by the size band of the larger set, so that differences can touc
 A set is served by the first way that does, and enters every way up to that one; so for each pair the way that serves one of the
 two holds both. Candidates are verified on whole texts. Sets that are equal are one class from the start.
 
-Index entries travel as packed arrays, 7 bytes each, and are grouped in numpy; a group of up to GROUP classes gives all pairs, a
-larger one its pairs with a centre, and its unlinked rest goes on in rounds (`_rest`), where the triangle inequality of the Jaccard
-distance says which pairs are left to compare. Only classes that end in different components could change the result, so the
-others are not compared.
+Index entries travel as packed arrays, 7 bytes each, and are grouped in numpy. A group of up to GROUP classes gives all pairs, a
+larger one its pairs with a centre; the links found so far make components, and a large group that still lies in more than one
+is compared whole by parity sketches (`_open_pairs`), which bound the distance from below. Only pairs that pass the sketches are
+verified. Only classes in different components could change the result, so no others are compared.
 """
 from __future__ import annotations
 
@@ -45,7 +45,8 @@ CELLS = 4
 #: Seeds of the one-deletion way, then single shingles.
 SEEDS = 4
 GROUP = 8
-MANY = 128
+#: Classes of a large group on each side of one block of comparisons.
+BLOCK = 1024
 EPS = 1e-9
 #: Index entries that a task gathers before it hands them on, and that one part holds at most, about.
 FLUSH, PART = 1 << 22, 1 << 22
@@ -127,14 +128,18 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """A sketch with fewer cells: halves fold onto each other, as the cell's number is the low bits of a hash."""
+    out = np.frombuffer(x, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def least_distance(x: bytes, y: bytes, n: int, m: int) -> float:
     """A lower bound of the Jaccard distance of two sets of n and m shingles, from their sketches."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):  # halves fold onto each other: cell numbers are the low bits
-        if len(a) < len(b):
-            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-        else:
-            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    size = min(len(x), len(y))
+    a, b = _folded(x, size), _folded(y, size)
     bits = max(int(np.bitwise_count(a ^ b).sum()), abs(n - m))
     return 2 * bits / (n + m + bits) if n + m else 0.0
 
@@ -325,53 +330,59 @@ def _screened(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("far", bound("__x", "__y", "n", "m")).select("a", "b", "far")
 
 
-def _checked(docs, classes, sketches, pairs: DataFrame, num: int, den: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """The verified pairs (a, b, inter, either), and for every pair (a, b, far): its distance, or a bound above the threshold."""
-    screened = saved(_screened(pairs, sketches), "screened")
-    limit = (den - num) / den
-    verified = saved(_verified(docs, classes, screened.where(F.col("far") <= limit + EPS).select("a", "b"), num, den, width), "verified")
-    exact = verified.select("a", "b", (1 - F.col("inter") / F.col("either")).alias("exact"))
-    known = screened.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("exact", "far").alias("far"))
-    return verified, known
+def _checked(docs, classes, sketches, pairs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """The pairs that their sketches leave open, verified on whole texts: a, b, inter, either."""
+    near = saved(_screened(pairs, sketches).where(F.col("far") <= (den - num) / den + EPS).select("a", "b"), "screened")
+    return saved(_verified(docs, classes, near, num, den, width), "verified")
 
 
 def _linked(verified: DataFrame, num: int, den: int) -> DataFrame:
     return verified.where(F.col("inter") * den >= F.col("either") * num)
 
 
-def _rest(docs, classes, sketches, large: DataFrame, known: DataFrame, num: int, den: int, width: int) -> list[DataFrame]:
-    """Links inside large groups that the pairs with their centres leave open.
+def _open_pairs(large: DataFrame, sketches: DataFrame, links: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+    """Pairs inside large groups that could still join two components and that their sketches don't tell apart.
 
-    A group keeps the classes not linked with its centre c. One of them, y, may link with another such class, or with a class x
-    that is linked with c: as distances obey the triangle inequality, only if y is within twice the threshold of c and x
-    no nearer to c than y's distance less the threshold. A rest of up to MANY gives all its pairs, whose sketches tell most of them
-    apart; a larger one forms the group of the next round, with a new centre.
+    A group that lies in one component by now is done: with its centre's links, nearly every group of real near duplicates is. Any
+    other is compared whole, in blocks of BLOCK by BLOCK classes, by the bits of the sketches, in numpy; only what passes is a row.
     """
-    found, limit = [], (den - num) / den
-    while True:
-        centres = large.groupBy("g").agg(F.min("b").alias("a"))
-        rows = saved(large.join(centres, "g").where("a <> b").join(known, ["a", "b"], "left").select("g", "b", F.coalesce("far", F.lit(1.0)).alias("far")), "group-rows")
-        near = rows.where(F.col("far") <= limit + EPS)
-        rest = rows.where(F.col("far") > limit - EPS)
-        open_ = rest.groupBy("g").agg(F.min("far").alias("least"), F.count(F.lit(1)).alias("n"))
-        if open_.isEmpty():
-            drop_saved(docs.sparkSession, rows)
-            return found
-        y = rest.where(F.col("far") <= 2 * limit + EPS).select("g", F.col("b").alias("y"), F.col("far").alias("fy"))
-        x = near.join(open_.where(F.col("least") <= 2 * limit + EPS), "g").where(F.col("far") >= F.col("least") - limit - EPS).select("g", F.col("b").alias("x"), F.col("far").alias("fx"))
-        cross = y.join(x, "g").where("x <> y").where(F.col("fx") >= F.col("fy") - limit - EPS).select("x", "y")
-        few = rest.join(open_.where(F.col("n") <= MANY).select("g"), "g").select("g", "b")
-        inside = few.select("g", F.col("b").alias("x")).join(few.select("g", F.col("b").alias("y")), "g").where("x < y").select("x", "y")
-        large = saved(rest.join(open_.where(F.col("n") > MANY).select("g"), "g").select("g", "b"), "large")
-        stars = large.join(large.groupBy("g").agg(F.min("b").alias("x")), "g").where("x <> b").select("x", F.col("b").alias("y"))
-        sizes = classes.select("a", "n")
-        pairs = cross.unionAll(inside).unionAll(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(sizes, "a").join(sizes.toDF("b", "m"), "b")
-        pairs = saved(pairs.where(F.least("n", "m") * den >= F.greatest("n", "m") * num).select("a", "b"), "pairs")
-        more, again = _checked(docs, classes, sketches, pairs, num, den, width)
-        known = saved(known.unionByName(again), "known")
-        found.append(_linked(more, num, den))
-        drop_saved(docs.sparkSession, rows, pairs)
+    joined = components(links)
+    rows = large.join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    split = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("__low <> __high")
+    held = rows.join(split.select("g", "blocks"), "g").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = held.withColumn("other", F.explode(F.filter(every, lambda k: k >= F.col("own")))).select("g", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "b", "component", "n", "sketch")
+    right = held.withColumn("other", F.explode(F.filter(every, lambda k: k < F.col("own")))).select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "b", "component", "n", "sketch")
+    limit = (den - num) / den + EPS
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        least = min(map(len, block["sketch"]))
+        bits = np.stack([_folded(x, least) for x in block["sketch"]]).view("<u8")
+        name, component, n, side = (block[c].to_numpy() for c in ("b", "component", "n", "side"))
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1) if (side == 1).any() else first
+        if block["i"].iloc[0] != block["j"].iloc[0] and not (side == 1).any():
+            second = second[:0]
+        found = []
+        for k in first:
+            differ = np.maximum(np.bitwise_count(bits[second] ^ bits[k]).sum(axis=1, dtype=np.int64), np.abs(n[second] - n[k]))
+            near = second[(2 * differ <= limit * (n[second] + n[k] + differ)) & (component[second] != component[k])]
+            found.append(np.stack([np.minimum(name[near], name[k]), np.maximum(name[near], name[k])], axis=1))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = [], None
+        for batch in batches:
+            for key, part in batch.groupby(["g", "i", "j"], sort=False):
+                if key != at and held:
+                    yield meet(pd.concat(held, ignore_index=True))
+                    held = []
+                at = key
+                held.append(part)
+        if held:
+            yield meet(pd.concat(held, ignore_index=True))
+
+    return left.unionAll(right).repartition(partitions, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -401,12 +412,10 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, width: i
     touched = pairs.select("a").unionAll(pairs.select("b")).unionAll(groups.where("kind = 1").select("b")).distinct()
     met = classes.join(touched, "a", "left_semi").select("n", "a", "fb", F.col("rep").alias("doc_id"))
     sketches = saved(rows.withColumnRenamed("b", "fb").join(met, ["n", "a", "fb", "doc_id"], "left_semi").select("a", "n", "sketch").dropDuplicates(["a"]), "sketches")
-    verified, known = _checked(own, classes, sketches, pairs, num, den, width)
-    links = [_linked(verified, num, den)]
-    links += _rest(own, classes, sketches, groups.where("kind = 1").select("g", "b").distinct(), known, num, den, width)
-    linked = links[0]
-    for more in links[1:]:
-        linked = linked.unionAll(more)
+    verified = _checked(own, classes, sketches, pairs, num, den, width)
+    linked = _linked(verified, num, den)
+    left = saved(_open_pairs(groups.where("kind = 1").select("g", "b").distinct(), sketches, linked.select("a", "b"), parts, num, den).join(verified.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
+    linked = linked.unionAll(_linked(saved(_verified(own, classes, left, num, den, width), "verified"), num, den))
     names = classes.select("a", "rep")
     by_class = linked.join(names.toDF("a", "ra"), "a").join(names.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # Members join their class by its least doc_id; a doc_id of several rows joins all their classes.

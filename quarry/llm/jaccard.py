@@ -348,8 +348,11 @@ def _open_pairs(large: DataFrame, sketches: DataFrame, links: DataFrame, partiti
     """
     joined = components(links)
     rows = large.join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    split = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("__low <> __high")
-    held = rows.join(split.select("g", "blocks"), "g").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    open_ = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.min("b").alias("centre")).where("__low <> __high").select("g", "centre")
+    # Groups of one centre are mostly groups of one family: their classes are compared once, not once a group.
+    family = saved(rows.join(open_, "g").select(F.col("centre").alias("g"), "b", "component").distinct(), "families")
+    blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = family.join(blocks, "g").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = held.withColumn("other", F.explode(F.filter(every, lambda k: k >= F.col("own")))).select("g", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "b", "component", "n", "sketch")
     right = held.withColumn("other", F.explode(F.filter(every, lambda k: k < F.col("own")))).select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "b", "component", "n", "sketch")

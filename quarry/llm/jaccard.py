@@ -240,7 +240,10 @@ def _unpack(blob: bytes):
 
 
 def _groups(index: DataFrame, num: int, den: int) -> DataFrame:
-    """From the packed index: kind 0, a pair (a < b) to verify; kind 1, a class b in the large group g."""
+    """From the packed index: kind 0, a pair (a < b) to verify; kind 1, a class b in a large group of centre g.
+
+    Large groups of one centre are mostly those of one family: their classes are listed, and later compared, once for the centre.
+    """
 
     def one_part(part: int, blobs: list[bytes]) -> pd.DataFrame:
         got = [_unpack(b) for b in blobs]
@@ -269,9 +272,9 @@ def _groups(index: DataFrame, num: int, den: int) -> DataFrame:
         near = np.minimum(size[x], size[y]) * den >= np.maximum(size[x], size[y]) * num
         x, y = x[near], y[near]
         both = np.unique(x * np.int64(len(a)) + y) if len(a) else np.zeros(0, np.int64)
-        g = mix(key[big] + (np.uint64(part) << np.uint64(40))).view(np.int64)
+        member = np.unique(centre[big] * np.int64(len(a)) + own[big]) if len(a) else np.zeros(0, np.int64)
         out = pd.DataFrame({"kind": 0, "g": 0, "a": a[both // max(1, len(a))], "b": a[both % max(1, len(a))]})
-        return pd.concat([out, pd.DataFrame({"kind": 1, "g": g, "a": 0, "b": a[own[big]]})]).astype({"kind": "int32", "g": "int64", "a": "int64", "b": "int64"})
+        return pd.concat([out, pd.DataFrame({"kind": 1, "g": a[member // max(1, len(a))], "a": 0, "b": a[member % max(1, len(a))]})]).astype({"kind": "int32", "g": "int64", "a": "int64", "b": "int64"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, blobs = None, []
@@ -348,9 +351,8 @@ def _open_pairs(large: DataFrame, sketches: DataFrame, links: DataFrame, partiti
     """
     joined = components(links)
     rows = large.join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    open_ = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), F.min("b").alias("centre")).where("__low <> __high").select("g", "centre")
-    # Groups of one centre are mostly groups of one family: their classes are compared once, not once a group.
-    family = saved(rows.join(open_, "g").select(F.col("centre").alias("g"), "b", "component").distinct(), "families")
+    open_ = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high")).where("__low <> __high").select("g")
+    family = saved(rows.join(open_, "g", "left_semi").select("g", "b", "component"), "families")
     blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     held = family.join(blocks, "g").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)

@@ -2,9 +2,11 @@
 
 A table hashes a vector x to the slots floor(a.x / w + b) of M Gaussian projections. For a query, the chance that a neighbour at
 distance r falls into a slot is known from the normal distribution, so each perturbed bucket has an estimated chance of success;
-buckets are visited in that order until their sum, over all tables, reaches the target recall. r is the distance of the K-th
-neighbour within a bounded sample, which is no smaller than in all rows, so the estimate errs to more probes. Candidates of all tables
-are merged and ranked by exact distance. Every row is in the index.
+buckets are visited in that order until their sum, over all tables, reaches the target recall. r is each query's own distance to
+its K-th neighbour within a bounded sample, which is no smaller than in all rows, so the estimate errs to more probes. Queries in
+dense groups and isolated ones have radii of other sizes, so there are tables for each common size of radius; a query takes the
+narrowest width that its radius allows and visits every bucket if there is none. Candidates of all tables are merged and ranked by
+exact distance. Every row is in each index.
 """
 from __future__ import annotations
 
@@ -21,8 +23,13 @@ from quarry.llm.vectors import key_of, matrix, streamed, valid
 
 TABLES = 2
 TARGET = 0.98
-#: Vectors of the sample that fits the width and the radius.
+#: Vectors of the sample that gives a query its radius; queries whose radii give the widths.
 SAMPLE = 4096
+#: Widths at most, and the least share of the queries that has one of its own; this decides on speed alone.
+LEVELS = 3
+SHARE = 0.05
+#: A query's radius is at most so many widths (the slots to look at grow with the power M).
+REACH = 2.0
 #: Members of a bucket that one block holds; a larger bucket has several.
 BLOCK = 4096
 
@@ -65,13 +72,35 @@ def probes(place: np.ndarray, width: float, radius: float, need: float) -> np.nd
     return np.stack(slots, axis=1)[order[:n]].astype(np.int64)
 
 
+def widths_for(radii: np.ndarray) -> list[float]:
+    """Slot widths, ascending: the median of each group of radii within a factor of two that holds its share of the queries."""
+    left, groups = np.sort(radii[np.isfinite(radii)]), []
+    while len(left):
+        cut = np.searchsorted(left, left[-1] / 2, "right")
+        cut = min(cut, len(left) - 1)
+        groups.append(left[cut:])
+        left = left[:cut]
+    large = sorted((g for g in groups if len(g) >= SHARE * len(radii)), key=len)[-LEVELS:]
+    return sorted(float(np.median(g)) for g in large)
+
+
+def radii_in(sample: np.ndarray, names: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """The distance of each row of x to its k-th neighbour in the sample, without the row named as itself; inf for fewer than k."""
+    if len(sample) <= k:
+        return np.full(len(x), np.inf)
+    d = (x**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * x @ sample.T
+    d[own[:, None] == names] = np.inf
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return np.array([max(np.sqrt(((sample[p] - q) ** 2).sum(axis=1).max()), 1e-150) for p, q in zip(near, x)])
+
+
 def nearest(rows: DataFrame, queries, k: int = 10, target: float = TARGET, tables: int = TABLES, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found by Euclidean distance, ties to the smaller id.
 
     queries is a condition on rows that says which are queries; all other rows and queries are candidates of a query, but not
     itself. Vectors null, empty, zero or with a null or non-finite component take no part, nor do rows without an id; vectors of another
     length than the query's are no candidates. Equal vectors are one entry with their smallest ids, so that copies cost nothing.
-    A query with fewer than k found visits every bucket. An empty table gives an empty result.
+    A query with fewer than k found, or fewer in the sample, visits every bucket. An empty table gives an empty result.
     """
     spark = rows.sparkSession
     own = rows.where(F.col(id_column).isNotNull() & valid(vector)).select(F.col(id_column).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") + 0.0).alias("v"), queries.alias("asks"))
@@ -83,31 +112,42 @@ def nearest(rows: DataFrame, queries, k: int = 10, target: float = TARGET, table
     sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return spark.createDataFrame([], empty)
-    fitted = {}
-    sample = classes.orderBy("key").limit(SAMPLE).select("v").toPandas()["v"]
-    for dim, n in sizes.items():
-        own_dim = [v for v in sample if len(v) == dim] or [np.eye(1, dim)[0], -np.eye(1, dim)[0]]
-        x = matrix(pd.Series(own_dim))
-        d = np.sqrt(np.maximum((x[:256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[:256] @ x.T, 0))
-        radius = float(np.median(np.sort(d, axis=1)[:, min(k, len(x) - 1)])) or 1.0
-        fitted[dim] = (radius, projections_for(n))
+    drawn = classes.orderBy("key").limit(SAMPLE).select("key", "v").toPandas()
+    sample = {dim: (matrix(part["v"]), part["key"].to_numpy()) for dim, part in drawn.groupby(drawn["v"].map(len))}
+    shared = spark.sparkContext.broadcast(sample)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, part in batch.groupby(batch["v"].map(len)):
+                x, names = shared.value.get(dim, (np.zeros((0, dim)), np.zeros(0, np.int64)))
+                yield part.assign(radius=radii_in(x, names, matrix(part["v"]), part["key"].to_numpy(), k))
+
+    small_batches(spark)
+    asking = classes.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
+    asking = saved(asking.mapInPandas(measure, "key long, v array<double>, radius double"), "radii")
+    radii = asking.orderBy("key").limit(SAMPLE).select(F.size("v").alias("dim"), "radius").toPandas()
+    # A dimension that no query of these has still needs tables, as its queries visit the buckets of the first one.
+    fitted = {dim: (widths_for(radii["radius"][radii["dim"] == dim].to_numpy()) or [1.0], projections_for(n)) for dim, n in sizes.items()}
     need = 1 - (1 - target) ** (1 / tables)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch["v"].map(len)):
-                radius, m = fitted[dim]
+                widths, m = fitted[dim]
                 x = matrix(part["v"])
-                for t, (a, b) in enumerate(planes(dim, m, tables)):
-                    names = bucket_names(np.floor(x @ a / radius + b).astype(np.int64))
+                for t, (width, (a, b)) in enumerate((w, p) for w in widths for p in planes(dim, m, tables)):
+                    names = bucket_names(np.floor(x @ a / width + b).astype(np.int64))
                     yield pd.DataFrame({"dim": dim, "t": t, "bucket": names, "key": part["key"].to_numpy(), "v": part["v"].to_numpy(), "ids": part["ids"].to_numpy()})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, v in zip(batch["key"], batch["v"]):
-                radius, m = fitted[len(v)]
-                for t, (a, b) in enumerate(planes(len(v), m, tables)):
-                    names = np.unique(bucket_names(probes(np.asarray(v) @ a / radius + b, radius, radius, need)))
+            for key, v, radius in zip(batch["key"], batch["v"], batch["radius"]):
+                widths, m = fitted[len(v)]
+                level = next((i for i, w in enumerate(widths) if radius <= REACH * w), None)
+                if level is None:
+                    continue  # found by no bucket, it visits every one below
+                for t, (a, b) in enumerate(planes(len(v), m, tables), level * tables):
+                    names = np.unique(bucket_names(probes(np.asarray(v) @ a / widths[level] + b, widths[level], radius, need)))
                     yield pd.DataFrame({"dim": len(v), "t": t, "bucket": names, "key": key})
 
     def meet(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -122,9 +162,7 @@ def nearest(rows: DataFrame, queries, k: int = 10, target: float = TARGET, table
             out.append([{"score": s, "vec_id": n} for s, n in found])
         return pd.DataFrame({"key": asking["key"], "found": out})
 
-    small_batches(spark)
     entries = saved(classes.mapInPandas(index, "dim int, t int, bucket long, key long, v array<double>, ids array<long>"), "buckets")
-    asking = classes.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
     counts = entries.groupBy("dim", "t", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     members = entries.join(counts, ["dim", "t", "bucket"]).select("dim", "t", "bucket", F.pmod("key", "blocks").alias("block"), "key", "v", "ids", F.lit(0).alias("role"))
     block = ["dim", "t", "bucket", "block"]

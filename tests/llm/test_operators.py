@@ -367,6 +367,23 @@ def test_nearest_neighbours(spark):
     assert nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_neighbours_among_dense_groups(spark):
+    """Most vectors lie in groups of near copies; the isolated ones find their neighbours all the same, and so do the groups' own."""
+    rng = np.random.default_rng(5)
+    copies = np.repeat(rng.normal(size=(3, 64)), 1600, axis=0) + 0.2 * rng.normal(size=(4800, 64))
+    x = np.concatenate([copies, rng.normal(size=(3200, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest(df, F.col("vec_id") % 40 == 0, k=10).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = {True: [], False: []}
+    for q in range(0, len(x), 40):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        recall[q < 4800].append(len(got[q] & set(np.argsort(d)[:10].tolist())) / 10)
+    assert np.mean(recall[False]) >= 0.9 and np.mean(recall[True]) >= 0.9, {k: np.mean(v) for k, v in recall.items()}
+
+
 def test_embedding_dedup_is_exact(spark):
     rows, df = vectors(spark)
     got = near_duplicates(df, 0.93).collect()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm._common import saved, small_batches
@@ -20,6 +20,8 @@ from quarry.llm.token_counts import encoder, vocabulary
 
 #: Pieces that one task packs. A block leaves at most about one bin part empty, so larger blocks waste less.
 BLOCK_PIECES = 16_384
+#: Slots of a schedule whose pieces one task numbers.
+RUN_SLOTS = 64
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -70,8 +72,11 @@ def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def token_pieces(df: DataFrame, vocabulary_path: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each whole text's ids and the end id, cut into pieces of at most `capacity`; ids go into a checksum."""
+def token_pieces(df: DataFrame, vocabulary_path: str, end_id: int, capacity: int, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each whole text's ids and the end id, cut into pieces of at most `capacity`; ids go into a checksum.
+
+    Each piece has its row's columns `carry`, too.
+    """
     spark = df.sparkSession
     small_batches(spark)
     vocab = vocabulary(spark, vocabulary_path)
@@ -81,16 +86,29 @@ def token_pieces(df: DataFrame, vocabulary_path: str, end_id: int, capacity: int
         encode = encoder(vocab.value).encode
         for batch in batches:
             rows = []
-            for d, t in zip(batch["d"], batch["t"]):
+            for d, t, *more in zip(batch["d"], batch["t"], *(batch[c] for c in carry)):
                 ids = encode(t) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
-                    rows.append((None if pd.isna(d) else int(d), k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((None if pd.isna(d) else int(d), k, at // 4, len(piece) // 4, zlib.crc32(piece), *more))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *carry])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    schema = ", ".join(["doc_id long, piece int, start long, length long, ids_crc32 long", *(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)])
+    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), *carry).mapInPandas(cut, schema)
+
+
+def in_schedule(pieces: DataFrame) -> DataFrame:
+    """pieces with `rank`, their number in the order (slot, place, piece), in place of slot and place.
+
+    Runs of slots are numbered each by itself; one task adds up the runs, not their pieces. Read twice: pass a table that is written.
+    """
+    run = pieces.withColumn("__run", F.expr(f"slot div {RUN_SLOTS}"))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = run.groupBy("__run").agg(F.count(F.lit(1)).alias("__n")).select("__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    at = Window.partitionBy("__run").orderBy("slot", "place", "piece")
+    return run.withColumn("__at", F.row_number().over(at) - 1).join(bases, "__run").withColumn("rank", F.col("__at") + F.col("__base")).drop("__run", "__at", "__base", "slot", "place")
 
 
 def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) -> DataFrame:
@@ -98,23 +116,30 @@ def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) ->
 
     Pieces are dealt by a hash into blocks of about block_pieces, so a task's memory has a bound at every size, and each
     block is packed by itself; sequence_id holds the block in its high half. Read twice: pass a table that is written.
+    Where pieces have a `rank` (from 0, without gaps), a block is a range of ranks instead, blocks follow each other in that order, and
+    the sequences of a block stand in the order of their first pieces' ranks, so that each part of the block is a fair sample of it.
     """
+    ranked = "rank" in pieces.columns
     blocks = max(1, -(-pieces.count() // block_pieces))
 
     def of(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
+        block = block.sort_values(["length", "rank"] if ranked else ["length", "doc_id", "piece", "ids_crc32"], ignore_index=True)
         lengths = block["length"].tolist()
         sequence, offset = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64")
         base = int(block["block"].iloc[0]) << 32
-        for b, own in enumerate(best_two_fit(lengths, capacity)):
+        bins = best_two_fit(lengths, capacity)
+        if ranked:
+            rank = block["rank"].tolist()
+            bins.sort(key=lambda own: rank[own[0]])
+        for b, own in enumerate(bins):
             at = 0
             for i in own:
                 sequence[i], offset[i] = base + b, at
                 at += lengths[i]
-        return block.drop(columns="block").assign(sequence_id=sequence, offset=offset)
+        return block.drop(columns=["block", "rank"] if ranked else "block").assign(sequence_id=sequence, offset=offset)
 
     place = F.monotonically_increasing_id()  # spreads rows that are alike; the same on a retry, as a written table is read
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", place), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.expr(f"rank div {block_pieces}") if ranked else F.pmod(F.xxhash64("doc_id", "piece", place), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(of, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

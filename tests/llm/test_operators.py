@@ -474,3 +474,25 @@ def test_pipeline_edges(spark, tmp_path):
     empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
+    """Each prefix of the sequences holds the target shares while all sources last, whatever the lengths and the rows' order."""
+    import corpus_pipeline
+
+    sizes = {"a": 6400, "b": 1600, None: 400}  # targets 80 : 40 : 20
+    rows = [(s, "word " * (300 if s == "b" else 20 + i % 90)) for s, n in sizes.items() for i in range(n)]
+    spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents"))
+    corpus_pipeline.mixing(spark, spark.read.parquet(str(tmp_path / "documents")), str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    pieces = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in pieces) == list(range(len(rows)))
+    held = defaultdict(list)
+    for r in pieces:
+        held[r["sequence_id"]].append(rows[r["doc_id"]][0])
+    seen, worst = Counter(), []
+    for s in sorted(held):
+        seen.update(held[s])
+        n = sum(seen.values())
+        if n >= 400 and max(seen[k] / size for k, size in sizes.items()) < 0.9:
+            worst.append(max(abs(seen[k] / n - w) for k, w in (("a", 4 / 7), ("b", 2 / 7), (None, 1 / 7))))
+    assert len(worst) > 50 and max(worst) < 0.08, (len(worst), max(worst))

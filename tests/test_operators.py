@@ -34,6 +34,11 @@ def test_paths_stop_at_cycles(spark):
     assert {r["node"]: r["path"] for r in J.resolve_paths(nodes).collect()} == {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"]}
 
 
+def test_paths_have_any_depth(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(150)] + [(500, 501, "x"), (501, 500, "y"), (600, 999, "z")], "id int, parent_id int, name string")
+    assert {r["node"]: r["path"] for r in J.resolve_paths(nodes).collect()} == {i: [f"n{k}" for k in range(i + 1)] for i in range(150)}
+
+
 def test_body_ends_and_absorbed_locals(spark):
     rows = spark.createDataFrame(
         [("f", 0, "label", 0), ("f", 1, "cheap_local", 2), ("f", 2, "label", 5), ("f", 3, "segment", 7), ("f", 4, "cheap_local", 9)], "uri string, seq int, kind string, line int"

@@ -1,4 +1,4 @@
-"""Connected components by contraction: every node merges into its least neighbour until no link is left."""
+"""Connected components by contraction in random orders: a logarithmic number of rounds, whatever the shape of the links."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -7,30 +7,49 @@ from pyspark.sql import functions as F
 from quarry.llm._common import drop_saved, saved
 
 
-def components(links: DataFrame) -> DataFrame:
+def _step(links: DataFrame, turn: int) -> DataFrame:
+    """(node, to): each node's first neighbour in this round's order, or itself if it comes before all of them."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("x"))
+    return both.groupBy("node").agg(F.min(place("other")).alias("m")).select("node", F.least("m", place("node"))["x"].alias("to"))
+
+
+def _jump(steps: DataFrame) -> DataFrame:
+    return steps.join(steps.toDF("to", "__far"), "to").select("node", F.col("__far").alias("to"))
+
+
+def components(links: DataFrame, rounds: list | None = None) -> DataFrame:
     """From links (a, b), both long and not null, to (node, component), the least node reachable; nodes with a link only.
 
-    A round maps each node to the least of itself and its neighbours, and the links with it; at least half of a component's
-    nodes vanish in it, so a logarithmic number of rounds does. A node with very many links is only ever aggregated (with
-    partial sums) or joined by an equality that adaptive execution may split. Loops and repeated links do no harm.
+    A round orders the nodes by a hash that is another one each time, points every node at the first of itself and its
+    neighbours, follows these pointers four steps, and moves the links along. A node stays only if some other's path ends there;
+    first among its neighbours is one in (degree + 1) nodes on average, so a chain loses about two thirds of its nodes in a
+    round and a star all but one, and the expected number of rounds is logarithmic in the nodes (a chain of 2,000 takes 8).
+    Labels are then carried back through the rounds, and each component takes its least node. A node with very many
+    links is only ever aggregated (with partial sums) or joined by an equality that adaptive execution may split. Loops and
+    repeated links do no harm. `rounds`, if given, gets the links left after each round.
     """
     spark = links.sparkSession
     edges = saved(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     used, maps = [edges], []
     while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        least = saved(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("to")), "parents")
-        maps.append(least)
-        a, b = least.toDF("a", "ta"), least.toDF("b", "tb")
-        moved = edges.join(a, "a").join(b, "b").where("ta <> tb")
+        first = saved(_step(edges, len(maps)), "parents")
+        near = saved(_jump(first), "parents")
+        far = saved(_jump(near), "parents")
+        maps.append(far)
+        moved = edges.join(far.toDF("a", "ta"), "a").join(far.toDF("b", "tb"), "b").where("ta <> tb")
         edges = saved(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
-        used.append(edges)
+        used += [first, near, edges]
+        if rounds is not None:
+            rounds.append(edges.count())
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = maps[-1].toDF("node", "component")
-    for least in reversed(maps[:-1]):
+    out = maps[-1].toDF("node", "root")
+    for far in reversed(maps[:-1]):
         up = out.toDF("to", "up")
-        out = least.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("component"))
-    out = saved(out, "components")
-    drop_saved(spark, *used, *maps)
-    return out
+        out = far.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("root"))
+    out = saved(out, "roots")
+    least = out.groupBy("root").agg(F.min("node").alias("component"))
+    found = saved(out.join(least, "root").select("node", "component"), "components")
+    drop_saved(spark, *used, *maps, out)
+    return found

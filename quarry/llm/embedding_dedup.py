@@ -16,16 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import partitions, saved, small_batches
+from quarry.llm._common import partitions, pieces, saved
 from quarry.llm.components import components
-from quarry.llm.vectors import key_of, matrix, streamed, valid
-
-#: Vectors of the sample that fits centroids and codewords, lists at most, subspaces, codewords of each.
-SAMPLE, LISTS, SUBSPACES, WORDS = 8192, 256, 8, 32
-#: Classes of a list, about. A vector is sent once to each list that it probes, so fewer, larger lists move less.
-OF_LIST = 4096
-#: Members that one block of a list holds.
-BLOCK = 1024
+from quarry.llm.vectors import ROWS, keys_of, matrix, streamed, valid
+
+#: Vectors of the sample for each list, and at least; subspaces, codewords of each.
+SAMPLE_OF_LIST, SAMPLE, SUBSPACES, WORDS = 8, 8192, 8, 32
+#: Classes of a list, about: the lists grow with the rows. A vector is sent once to each list that it probes, so fewer, larger lists move
+#: less. The centroids are what the driver fits and sends out, so they have a bound (4096 x 8 bytes x the dimension); beyond it lists
+#: grow, in more blocks.
+OF_LIST, LEAST_LISTS, LISTS = 4096, 4, 4096
+#: Members that one block of a list holds, and rows of blocks that one task holds, about.
+BLOCK, TASK_ROWS = 4096, 1 << 17
 EPS = 1e-9
 
 
@@ -68,7 +70,8 @@ class Quantiser:
     def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
         """Which lists can hold a vector within `reach` of each x."""
         d = self._far(x)
-        apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2), 0))[own]
+        homes, of = np.unique(own, return_inverse=True)
+        apart = np.sqrt(self._far(self.centroids[homes]))[of]
         return d - d[np.arange(len(x)), own][:, None] <= 2 * apart * (reach + EPS) + EPS
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
@@ -80,6 +83,10 @@ class Quantiser:
         return np.sqrt(np.maximum(out, 0))
 
 
+def lists_for(n: int) -> int:
+    return max(1, min(LISTS, max(min(LEAST_LISTS, n // 16), n // OF_LIST)))
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_column: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept, row for row; only vectors of one label compare.
 
@@ -90,25 +97,27 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_column: str = "
     An empty table gives an empty result.
     """
     spark = rows.sparkSession
-    small_batches(spark, 2048)
     own = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("raw"), F.col(label).alias("label"))
     takes = F.col("label").isNotNull() & valid("raw")
     own = own.select("id", "label", F.when(takes, F.transform("raw", lambda x: x.cast("double") + 0.0)).alias("v"))
-    own = own.withColumn("key", F.when(F.col("v").isNotNull(), key_of("label", "v")))
-    table = saved(own, "vectors")
-    classes = saved(table.where("key IS NOT NULL").groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")), "classes")
+    half, other = keys_of("label", "v")
+    table = saved(own.withColumns({"h": F.when(F.col("v").isNotNull(), half), "o": F.when(F.col("v").isNotNull(), other)}), "vectors")
+    grouped = table.where("h IS NOT NULL").groupBy("h", "o").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    # A class has a number of its own from here on; it holds where the table is written.
+    classes = saved(grouped.withColumn("key", F.monotonically_increasing_id()), "classes")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    sample = classes.orderBy("key").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = classes.orderBy("h", "o").limit(max(SAMPLE, SAMPLE_OF_LIST * lists_for(total))).select("v").toPandas()["v"]
     fitted = {}
     for dim, n in sizes.items():
         x = [v for v in sample if len(v) == dim] or [np.eye(1, dim)[0]]
         x = matrix(pd.Series(x))
-        fitted[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(LISTS, n // OF_LIST)))
+        fitted[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), lists_for(n))
     model = spark.sparkContext.broadcast(fitted)  # LISTS centroids and SUBSPACES * WORDS codewords of each length
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             for dim, part in batch.groupby(batch["v"].map(len)):
                 q = model.value[dim]
                 x = matrix(part["v"])
@@ -123,6 +132,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_column: str = "
                 yield pd.DataFrame({"dim": dim, "label": part["label"].to_numpy()[who], "list": where, "key": part["key"].to_numpy()[who], "v": part["v"].to_numpy()[who], "n": part["n"].to_numpy()[who], "code": b"", "error": np.where(where == home[who], 1.0, 0.0), "role": 1})
 
     def meet(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([met(members, part) for part in pieces([asking], 512)])
+
+    def met(members: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         q, which = model.value[int(members["dim"].iloc[0])], int(members["list"].iloc[0])
         y, x = matrix(members["v"]), matrix(asking["v"])
         ny, nx = np.linalg.norm(y, axis=1), np.linalg.norm(x, axis=1)
@@ -149,15 +161,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, id_column: str = "
     names = ["dim", "label", "list"]
     counts = entries.where("role = 0").groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     placed = entries.join(counts, names)
-    members = placed.where("role = 0").withColumn("block", F.pmod("key", "blocks"))
+    members = placed.where("role = 0").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     asking = placed.where("role = 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found = saved(streamed(members.unionByName(asking), [*names, "block"], partitions(spark), meet, "kind long, a long, b long, n long", ["kind", "a", "b", "n"]), "links")
+    found = saved(streamed(members.unionByName(asking), [*names, "block"], partitions(spark, total, TASK_ROWS), meet, "kind long, a long, b long, n long", ["kind", "a", "b", "n"]), "links")
     joined = components(found.where("kind = 1").select("a", "b"))
     group = classes.select("key", "n", "rep").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
-    known = group.join(least, "component").join(links, "key", "left").select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    out = table.select("id", "key").join(known, "key", "left")
+    known = group.join(least, "component").join(links, "key", "left").join(classes.select("key", "h", "o"), "key").select("h", "o", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    out = table.select("id", "h", "o").join(known, ["h", "o"], "left")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept")
     )

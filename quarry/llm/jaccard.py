@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import drop_saved, partitions, saved, small_batches
+from quarry.llm._common import drop_saved, partitions, pieces, saved, sliced
 from quarry.llm.components import components
 from quarry.llm.shingles import WIDTH, fingerprint, mix, shingle_sets
 
@@ -146,7 +146,6 @@ def least_distance(x: bytes, y: bytes, n: int, m: int) -> float:
 
 def shingle_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per document (kind 0: doc_id, n, a and b, the set's fingerprint) and the frequent shingles of each task (kind 1: a, n)."""
-    small_batches(docs.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, texts, seen = [], 0, 0, set()
@@ -161,7 +160,7 @@ def shingle_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             counts = keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
             held, size = [], 0
 
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             rows = []
             for d, s in zip(batch["d"], shingle_sets(list(batch["t"]), width)):
                 a, b = fingerprint(s)
@@ -207,7 +206,7 @@ def _index(docs: DataFrame, frequent, all_bands, parts: int, num: int, den: int,
                     blob = struct.pack("<II", len(used), len(v)) + table_a[used].tobytes() + table_n[used].tobytes() + v.astype(np.uint32).tobytes() + (v >> np.uint64(32)).astype(np.uint8).tobytes() + o.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes()
                     yield pd.DataFrame({"part": [p], "blob": [blob]})
 
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             for s in shingle_sets(list(batch["t"]), width):
                 a, _ = fingerprint(s)
                 if not len(s) or a in seen:
@@ -306,7 +305,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, d
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centre, at = None, None
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for a, run, b, fb, s in zip(batch["a"], batch["run"], batch["b"], batch["fb"], shingle_sets(list(batch["text"]), width)):
                 if fingerprint(s) != (b, fb):
@@ -410,9 +409,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, width: i
     all_bands = bands(2 * (total["most"] or 1))
     parts = max(partitions(spark), (total["n"] or 0) // PART + 1)
     index = _index(own, frequent, all_bands, parts, num, den, width, "d", "t").repartition(parts, "part").sortWithinPartitions("part")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     groups = saved(_groups(index, num, den), "groups")
-    small_batches(spark)
     pairs = saved(groups.where("kind = 0").select("a", "b").distinct(), "pairs")
     touched = pairs.select("a").unionAll(pairs.select("b")).unionAll(groups.where("kind = 1").select("b")).distinct()
     met = classes.join(touched, "a", "left_semi").select("n", "a", "fb", F.col("rep").alias("doc_id"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import partitions, saved, scratch_path, small_batches
+from quarry.llm._common import partitions, saved, scratch_path
 from quarry.llm.shared_files import make_folder, mapped, write_array
 from quarry.llm.shingles import word_hashes
 
@@ -184,7 +184,6 @@ def _by_part(rows: DataFrame, parts: int, work, schema: str) -> DataFrame:
         if held:
             yield from work(at, *_summed(*zip(*held)))
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return rows.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(run, schema)
 
 
@@ -222,7 +221,6 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     own = texts.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
     folder = scratch_path(spark, "kneser-ney")
     make_folder(folder)
-    small_batches(spark)
     shards = max(16, min(65536, partitions(spark)))
 
     def words(batches):
@@ -265,7 +263,6 @@ def train(texts: DataFrame, text: str = "text") -> Model:
             yield batch
 
     spark.createDataFrame([(s,) for s in starts], "id long").repartition(min(len(starts), partitions(spark))).mapInPandas(write_sums, "id long").count()
-    small_batches(spark)
 
     def share(keys: np.ndarray) -> np.ndarray:
         """The part of sorted keys: where the key stands when words are laid out by their counts, first word first."""
@@ -340,7 +337,6 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     got = _by_part(table.where("kind = 1").select("part", "blob"), shards, write_before, "n1 long, n2 long, n3 long, n4 long, more long").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "more"))).first()
     d = model.discount_below = discounts([got[c] for c in ("n1", "n2", "n3", "n4")])
     model.gamma_below = float(d[1] * got["n1"] + d[2] * got["n2"] + d[3] * got["more"]) / model.different
-    small_batches(spark)
     return model
 
 
@@ -352,7 +348,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Repeated rows score alike; columns of docs with the added names are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2048)
     shared = spark.sparkContext.broadcast(model)  # figures and paths; the arrays stay in files
 
     @F.pandas_udf("n_tokens long, n_known long, base_score double, score double")

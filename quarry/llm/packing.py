@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import saved, small_batches
+from quarry.llm._common import saved, sliced
 from quarry.llm.token_counts import encoder, vocabulary
 
 #: Pieces that one task packs. A block leaves at most about one bin part empty, so larger blocks waste less.
@@ -78,13 +78,12 @@ def token_pieces(df: DataFrame, vocabulary_path: str, end_id: int, capacity: int
     Each piece has its row's columns `carry`, too.
     """
     spark = df.sparkSession
-    small_batches(spark)
     vocab = vocabulary(spark, vocabulary_path)
     end = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocab.value).encode
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             rows = []
             for d, t, *more in zip(batch["d"], batch["t"], *(batch[c] for c in carry)):
                 ids = encode(t) + end

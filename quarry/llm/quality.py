@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import small_batches
+from quarry.llm._common import sliced
 
 #: Rated rows that the fit uses at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 12_000
@@ -118,12 +118,11 @@ def grades_of(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, top: int = 2, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on at most sample_rows rated documents; ratings has __id and __grade (0 to top). The sample is all that moves."""
-    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"))
     sample = ratings.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(sample_rows)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             yield pd.DataFrame({"id": batch["__id"], "grade": batch["__grade"], "hashes": [features(t).tobytes() for t in batch["__text"]]})
 
     got = own.join(F.broadcast(sample), "__id").mapInPandas(read, "id long, grade int, hashes binary").toPandas().sort_values(["id", "grade", "hashes"])
@@ -138,13 +137,12 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep_at: float = KEEP_AT
     docs that have these names are replaced (give a prefix to keep them).
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # at most the sample's features
 
     @F.pandas_udf("expected_grade double, p_top double")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for texts in batches:
+        for texts in sliced(batches):
             tails = [m.tails(m.score(features(t))) for t in texts]
             yield pd.DataFrame({"expected_grade": [float(t.sum()) for t in tails], "p_top": [float(t[-1]) for t in tails]})
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 import numpy as np
 
@@ -33,7 +34,7 @@ def make_folder(uri: str) -> None:
 def write_array(uri: str, array: np.ndarray) -> None:
     """Whole or not at all, so that a task that runs twice does no harm."""
     if (path := local_path(uri)) is not None:
-        own = f"{path}.{os.getpid()}.part"
+        own = f"{path}.{uuid.uuid4().hex}.part"
         with open(own, "wb") as f:
             array.tofile(f)
         os.replace(own, path)

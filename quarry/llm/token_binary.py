@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import partitions, scratch_path, small_batches
+from quarry.llm._common import reading_parts, scratch_path, sliced
 from quarry.llm.token_counts import encoder, vocabulary
 
 CHUNK_BITS = 8
@@ -126,7 +126,6 @@ def write_token_segments(df: DataFrame, vocabulary_path: str, path: str, end_id:
     one doc_id ordered by text; an empty table writes an empty one. Other columns aren't read.
     """
     spark = df.sparkSession
-    small_batches(spark)
     vocab = vocabulary(spark, vocabulary_path)
     end = struct.pack("<I", end_id)
 
@@ -137,7 +136,7 @@ def write_token_segments(df: DataFrame, vocabulary_path: str, path: str, end_id:
         def done():
             return pd.DataFrame({"part": [part], "seg": [seg], "n_docs": [len(names)], "n_ids": [size // 4], "image": [segment(names, ids)]})
 
-        for batch in batches:
+        for batch in sliced(batches, "t"):
             for d, t in zip(batch["d"], batch["t"]):
                 ids.append(enc(t) + end)
                 names.append(None if pd.isna(d) else int(d))
@@ -150,7 +149,7 @@ def write_token_segments(df: DataFrame, vocabulary_path: str, path: str, end_id:
 
     (
         df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-        .repartitionByRange(partitions(spark), "d")
+        .repartitionByRange(reading_parts(df), "d")
         .sortWithinPartitions("d", "t")
         .mapInPandas(encode, "part int, seg int, n_docs long, n_ids long, image binary")
         .write.parquet(path)
@@ -187,7 +186,6 @@ def read_token_segments(spark, path: str, with_ids: bool = False) -> DataFrame:
                     out["ids"] = [r.astype("int64") for r in runs]
                 yield out
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     docs = files.select("part", "seg", "image").mapInPandas(decode, "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return docs.join(segments, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import small_batches, worker_cache
+from quarry.llm._common import sliced, worker_cache
 from quarry.llm.bpe import Encoder
 
 
@@ -34,13 +34,12 @@ def token_counts(df: DataFrame, vocabulary_path: str, text: str = "text", out: s
     that has the name `out` is replaced; other columns stay.
     """
     spark = df.sparkSession
-    small_batches(spark)
     vocab = vocabulary(spark, vocabulary_path)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         n = encoder(vocab.value).count
-        for texts in batches:
+        for texts in sliced(batches):
             yield pd.Series([n(t) for t in texts], dtype="int64")
 
     return df.withColumn(out, count(F.col(text)))

@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._common import pieces
+
+#: Rows that are turned into arrays at once.
+ROWS = 2048
+
 
 def valid(vector: str | Column) -> Column:
     """True for a vector with a component, all of them finite, and not all of them zero; false for any other, null too."""
@@ -16,9 +21,9 @@ def valid(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def key_of(*columns) -> Column:
-    """The 64-bit name of a class of equal rows. Adding 0 makes both zeros one."""
-    return F.xxhash64(*columns)
+def keys_of(*columns) -> tuple[Column, Column]:
+    """The 128-bit name of a class of equal rows, in two halves. Adding 0 to components makes both zeros one."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -30,11 +35,10 @@ def streamed(rows: DataFrame, block: list[str], partitions: int, meet: Callable[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, members = None, [], None
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches, ROWS):
             change = (batch[block] != batch[block].shift()).any(axis=1).to_numpy()
-            cuts = [*np.flatnonzero(change), len(batch)] if change[0] else [0, *np.flatnonzero(change), len(batch)]
+            change[0] = False
+            cuts = [0, *np.flatnonzero(change), len(batch)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 part = batch.iloc[a:b]
                 name = tuple(part[block].iloc[0])

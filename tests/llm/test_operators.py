@@ -496,3 +496,37 @@ def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
         if n >= 400 and max(seen[k] / size for k, size in sizes.items()) < 0.9:
             worst.append(max(abs(seen[k] / n - w) for k, w in (("a", 4 / 7), ("b", 2 / 7), (None, 1 / 7))))
     assert len(worst) > 50 and max(worst) < 0.08, (len(worst), max(worst))
+
+
+# ---- shared
+
+
+def test_chains_take_few_rounds(spark):
+    n, rounds = 2000, []
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    got = components(links, rounds).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0} and len(rounds) <= 15
+
+
+def test_nearest_neighbours_with_ties_and_offsets(spark):
+    """Hundreds of equal distances give the smallest ids; a common offset costs no neighbours."""
+    eye = np.eye(64)
+    rows = [(0, [0.5] + [0.0] * 63)] + [(i, (eye[0] * 0.5 + (1 if i % 2 else -1) * eye[1 + i % 63]).tolist()) for i in range(1, 600)]
+    far = np.random.default_rng(3).normal(size=(600, 64)) + 1e8
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(far)]
+    by = dict(rows)
+    for part in (rows[:600], rows[600:]):
+        got = defaultdict(list)
+        for r in nearest(spark.createDataFrame(part, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=10).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        hits = 0
+        for q, found in got.items():
+            x = np.array([by[i] for i, _ in part])
+            d = np.sqrt(((x - np.array(by[q])) ** 2).sum(axis=1))
+            want = sorted((s, i) for s, (i, _) in zip(d.tolist(), part) if i != q)[:10]
+            found.sort()
+            assert [(s, i) for _, i, s in found] == sorted((s, i) for _, i, s in found)
+            hits += len({i for _, i, _ in found} & {i for _, i in want})
+            if q == 0:
+                assert [i for _, i, _ in found] == [i for _, i in want] == list(range(1, 11))
+        assert hits >= 9 * len(got)

@@ -63,3 +63,29 @@ def mapped(uri: str, dtype) -> np.ndarray:
         size = os.path.getsize(path)
         cache["map", uri] = np.memmap(path, dtype=dtype, mode="r") if size else np.zeros(0, dtype)
     return cache["map", uri]
+
+
+def write_arrays(uri: str, *arrays: np.ndarray) -> None:
+    """Several arrays in one file: a head of 16 bytes an array (type, length), then each one's bytes, padded to eight."""
+    head, body = [np.array([len(arrays)], "<u8").tobytes()], []
+    for a in arrays:
+        raw = np.ascontiguousarray(a).tobytes()
+        head.append(a.dtype.str.encode().ljust(8) + np.array([a.size], "<u8").tobytes())
+        body.append(raw + bytes(-len(raw) % 8))
+    write_array(uri, np.frombuffer(b"".join(head + body), np.uint8))
+
+
+def mapped_arrays(uri: str) -> list[np.ndarray]:
+    """The arrays of such a file, as views of the mapped file."""
+    cache = worker_cache()
+    if ("arrays", uri) not in cache:
+        raw = mapped(uri, np.uint8)
+        n, out = int(raw[:8].view("<u8")[0]), []
+        at = 8 + 16 * n
+        for k in range(n):
+            entry = raw[8 + 16 * k : 24 + 16 * k]
+            dtype, size = np.dtype(bytes(entry[:8]).decode().strip()), int(entry[8:].view("<u8")[0])
+            out.append(raw[at : at + size * dtype.itemsize].view(dtype))
+            at += -(-size * dtype.itemsize // 8) * 8
+        cache["arrays", uri] = out
+    return cache["arrays", uri]

@@ -219,11 +219,25 @@ def test_packing_edges(spark, encoders):
 # ---- 4
 
 
-def test_schedule_deviates_by_less_than_a_block(spark):
-    slots, own = mixing.shares({"a": 0.5, "b": 0.31, "c": 0.17, "d": 0.02}, 100)
-    order = [r["__key"] for r in mixing.schedule(spark, slots, own).orderBy("__slot").collect()]
-    for s, e in own.items():
-        assert order.count(s) == e and max(abs(order[: t + 1].count(s) - (t + 1) * e / slots) for t in range(slots)) < 1
+def plain_schedule(own, slots):
+    """Earliest deadline first among the released blocks, one slot after the other."""
+    total, done, out = sum(own), [0] * len(own), []
+    for t in range(slots):
+        _, i = min((-(-(done[i] + 1) * total // e), i) for i, e in enumerate(own) if done[i] * total // e <= t)
+        out.append(i)
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights, slots", [({"a": 1, "b": 2}, 5000), ({"a": 0.5, "b": 0.31, "c": 0.17, "d": 0.02}, 5000), ({"a": 1e6, "b": 1}, 5000), ({f"s{i}": (i + 1) ** 0.5 for i in range(20)}, 100_000)])
+def test_schedule_is_the_plain_one(spark, weights, slots):
+    """The segments together are one plain schedule, and each source stays within one block of the weight that was asked for."""
+    whole = mixing.whole_weights(weights)
+    got = [i for r in mixing.schedule(spark, list(whole.values()), slots).orderBy("j").collect() for i in r["took"]]
+    assert got == plain_schedule(list(whole.values()), slots)
+    seen = np.cumsum(np.arange(len(whole))[:, None] == np.array(got), axis=1)
+    target = np.array(list(weights.values()))[:, None] / sum(weights.values()) * np.arange(1, slots + 1)
+    assert np.abs(seen - target).max() < 1 + 1e-6
 
 
 def test_mixing_edges(spark):
@@ -238,6 +252,10 @@ def test_mixing_edges(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     one = mixing.mix_sources(spark.createDataFrame([(i, "s") for i in range(10_000)], "doc_id long, source string"), block_docs=7).collect()
     assert sorted(r["slot"] * 7 + r["place"] for r in one) == list(range(10_000))
+    many = spark.range(30_000).selectExpr("id AS doc_id", "concat('host', id % 1500) AS source")
+    assert mixing.mix_sources(many, block_docs=2).select("slot", "place").distinct().count() == 30_000
+    kept = mixing.mix_sources(docs, out=("b", "s", "p")).collect()
+    assert all(r["slot"] == 7 for r in kept) and len({(r["s"], r["p"]) for r in kept}) == len(rows)
     with pytest.raises(ValueError):
         mixing.mix_sources(docs, {"big": -1}).count()
 
@@ -276,50 +294,53 @@ def test_quality_edges(spark):
 # ---- 6
 
 
-def plain_model(texts):
-    pairs, single = Counter(), Counter()
+def plain_model(texts, order):
+    single, grams = Counter(), {order: Counter()}
     for t in texts:
         tokens = [*words(t), "\0end"]
         single.update(tokens)
-        pairs.update(zip(["\0start", *tokens], tokens))
-    d = kneser_ney.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    before, after = Counter(), defaultdict(lambda: [0, 0, 0, 0])
-    for (a, b), c in pairs.items():
-        before[b] += 1
-        after[a][0] += c
-        after[a][min(c, 3)] += 1
-    e = kneser_ney.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    most = sum(before.values())
-    gamma = sum(e[min(m, 3)] for m in before.values()) / most
-
-    def low(w):
-        return max(before[w] - e[min(before[w], 3)], 0) / most + gamma / (len(single) + 1)
-
-    def p(a, b):
-        if a not in after:
-            return low(b)
-        total, *n = after[a]
-        c = pairs[a, b]
-        return max(c - d[min(c, 3)], 0) / total + sum(x * y for x, y in zip(d[1:], n)) / total * low(b)
+        padded = ["\0start"] * (order - 1) + tokens
+        grams[order].update(tuple(padded[i : i + order]) for i in range(len(tokens)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    d = {k: kneser_ney.discounts([sum(c == n for c in grams[k].values()) for n in (1, 2, 3, 4)]) for k in grams}
+    after = defaultdict(lambda: [0, 0, 0, 0])
+    for k in grams:
+        for g, c in grams[k].items():
+            after[k, g[:-1]][0] += c
+            after[k, g[:-1]][min(c, 3)] += 1
+
+    def p(gram):
+        k = len(gram)
+        lower = p(gram[1:]) if k > 1 else 1 / (len(single) + 1)
+        if (k, gram[:-1]) not in after:
+            return lower
+        total, *n = after[k, gram[:-1]]
+        c = grams[k][gram]
+        return max(c - d[k][min(c, 3)], 0) / total + sum(x * y for x, y in zip(d[k][1:], n)) / total * lower
 
     return single, p
 
 
-def test_language_model_is_the_plain_one(spark):
+@pytest.mark.parametrize("order", (2, 3))
+def test_language_model_is_the_plain_one(spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "FLUSH", 500)
+    monkeypatch.setattr(kneser_ney, "PART", 900)
     rng = np.random.default_rng(9)
-    train = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 60) % 50)) for i in range(120)] + [(500, None), (501, "")]
-    model = kneser_ney.train(spark.createDataFrame(train, "doc_id long, text string"))
-    single, p = plain_model([t for _, t in train])
-    got = kneser_ney.score(edge(spark, EDGE + [(20, "W1 w2 w3 w1 unseen w2")]), model).collect()
+    train = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 60) % 50)) for i in range(120)] + [(500, None), (501, ""), (502, "w1 w2 " * 400)]
+    model = kneser_ney.train(spark.createDataFrame(train, "doc_id long, text string"), order=order)
+    single, p = plain_model([t for _, t in train], order)
+    got = kneser_ney.score(edge(spark, EDGE + [(20, "W1 w2 w3 w1 unseen w2 w1 w2"), *train[:40]]), model).collect()
     total, v = sum(single.values()), len(single)
-    assert len(got) == len(EDGE) + 1
+    assert len(got) == len(EDGE) + 41
     for r in got:
         tokens = [*words(r["text"]), "\0end"]
         assert r["n_tokens"] == len(tokens) and r["n_known"] == sum(single[t] > 0 for t in tokens) and r["train_tokens"] == total
         assert r["base_score"] == pytest.approx(sum(math.log10((single[t] + 0.1) / (total + 0.1 * (v + 1))) for t in tokens), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\0start", *tokens], tokens)), rel=1e-9)
-    probabilities = sum(p("w1", w) for w in single) + p("w1", "unseen")
-    assert probabilities == pytest.approx(1)
+        padded = ["\0start"] * (order - 1) + tokens
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(tokens))), rel=1e-9)
+    for context in (("w1", "w2"), ("\0start", "\0start"), ("w7", "unseen")):
+        assert sum(p((*context[3 - order :], w)) for w in single) + p((*context[3 - order :], "unseen")) == pytest.approx(1)
 
 
 def test_language_model_without_training(spark):

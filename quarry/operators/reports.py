@@ -1,7 +1,7 @@
 """The windowed usage report and index statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,22 @@ def most_common(rows: DataFrame, key: str, seen: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("first_seen")).orderBy(F.desc("n"), "first_seen")
 
 
+def by_kind(symbols: DataFrame, kind: str = "kind") -> DataFrame:
+    """Symbols of each kind, most first."""
+    return symbols.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), kind)
+
+
+def systematic_sample(rows: DataFrame, order: list[str], most: int = 60) -> DataFrame:
+    """Every (n // most)-th row in order, most at most: a sample is the feature. Ranges of the order are numbered side by side."""
+    step = max(1, rows.count() // most)
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    base = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    numbered = parts.withColumn("__at", at).join(F.broadcast(base), "__part").withColumn("__at", F.col("__at") + F.col("__base"))
+    return numbered.where((F.col("__at") % step == 0) & (F.col("__at") < step * most)).drop("__part", "__at", "__base")
+
+
 def duplicate_rate(rows: DataFrame, identity: list[str]) -> DataFrame:
     """Rows beyond the first of each identity, as a share of all rows."""
     each = rows.groupBy(*identity).agg(F.count(F.lit(1)).alias("n"))

@@ -157,19 +157,20 @@ def references_of(spark, sf_dir):
     words = lambda t, key: read(spark, sf_dir, t).select(key, F.posexplode(F.regexp_extract_all("text", F.lit(X.IDENTIFIER), F.lit(0))).alias("ordinal", "name"))
     defs = words("benchmark", "item_id").select("name", F.col("item_id").alias("text_id"), F.lit(None).cast("long").alias("doc_id"), "ordinal")
     refs = words("documents", "doc_id").select("name", F.lit(None).cast("long").alias("text_id"), "doc_id", "ordinal")
-    return J.rename_sites(defs, refs, "the", "tee", ["name", "text_id", "doc_id", "ordinal"]).drop("new_text")
+    return L.references(defs.unionAll(refs), "the")
 
 
 @query(
-    """SELECT doc_id, line, 'renamed' AS new_text, count(*) AS n FROM (
-         SELECT doc_id, line, unnest(regexp_extract_all(content, '@?[A-Za-z_][A-Za-z0-9_]*')) AS name FROM (
-           SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line FROM documents))
-       WHERE name = 'of' GROUP BY doc_id, line"""
+    """WITH texts AS (SELECT 'documents' AS place, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark)
+       SELECT place, id, line, 'renamed' AS new_text, count(*) AS n FROM (
+         SELECT place, id, line, unnest(regexp_extract_all(content, '@?[A-Za-z_][A-Za-z0-9_]*')) AS name FROM (
+           SELECT place, id, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS line FROM texts))
+       WHERE name = 'the' GROUP BY place, id, line"""
 )
 def rename_edits(spark, sf_dir):
-    refs = X.identifiers_of(X.lines_of(read(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "line"])
-    sites = J.rename_sites(refs.limit(0), refs, "of", "renamed", ["doc_id", "line", "ordinal"])
-    return sites.groupBy("doc_id", "line", "new_text").agg(F.count(F.lit(1)).alias("n"))
+    names = lambda t, key: X.identifiers_of(X.lines_of(read(spark, sf_dir, t).select(F.lit(t).alias("place"), F.col(key).alias("id"), "text"), ["place", "id"]), ["place", "id", "line"])
+    sites = J.rename_sites(names("benchmark", "item_id"), names("documents", "doc_id"), "the", "renamed", ["place", "id", "line", "ordinal"])
+    return sites.groupBy("place", "id", "line", "new_text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -280,15 +281,15 @@ def tier_preference(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)', 1) AS host, string_split(url, '/') AS s FROM pages),
-       a AS (SELECT p.page_id, c.url AS anchor, string_split(c.url, '/') AS t, p.s, p.url, p.host FROM p JOIN (SELECT url, page_id % 25 AS k FROM pages WHERE page_id < 25) c ON p.page_id % 25 = c.k),
-       d AS (SELECT page_id, anchor, coalesce(len(list_filter(range(1, least(len(s), len(t))), lambda i: s[:i] = t[:i])), 0)::INTEGER AS depth FROM a)
+    """WITH p AS (SELECT page_id, url, list_last(string_split(url, '/')) AS name, string_split(url, '/') AS s FROM pages),
+       d AS (SELECT a.page_id AS anchor, b.page_id, coalesce(len(list_filter(range(1, least(len(a.s), len(b.s))), lambda i: a.s[:i] = b.s[:i])), 0)::INTEGER AS depth FROM p a JOIN p b ON a.name = b.name AND a.page_id <> b.page_id)
        SELECT page_id, anchor, depth FROM (SELECT *, max(depth) OVER (PARTITION BY anchor) AS most FROM d) WHERE depth = most"""
 )
 def proximity(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 25).alias("k"))
-    anchors = pages.where("page_id < 25").select("k", F.col("url").alias("anchor"))
-    near = W.nearest_by_path(pages.join(anchors, "k"), ["anchor"], F.col("url"), F.col("anchor"))
+    """Pages of one name, as symbols of one name in several files: those that share most of each page's path."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.element_at(F.split("url", "/", -1), -1).alias("name"))
+    anchors = pages.select("name", F.col("page_id").alias("anchor"), F.col("url").alias("from_url"))
+    near = W.nearest_by_path(pages.join(anchors, "name").where("page_id <> anchor"), ["anchor"], F.col("url"), F.col("from_url"))
     return near.select("page_id", "anchor", "depth")
 
 
@@ -417,9 +418,9 @@ def _project(spark, sf_dir) -> DataFrame:
 def asm_index(spark, sf_dir):
     from quarry.sources import project
 
-    files = _project(spark, sf_dir)
-    count = lambda rows, name: rows.groupBy("uri").agg(F.count(F.lit(1)).alias(name))
-    return count(project.symbols(files), "n_symbols").join(count(project.references(files), "n_references"), "uri")
+    rows = project.index(_project(spark, sf_dir))
+    count = lambda what: F.count(F.when(F.col("what") == what, 1))
+    return rows.groupBy("uri").agg(count("symbol").alias("n_symbols"), count("reference").alias("n_references"))
 
 
 @query(
@@ -434,3 +435,93 @@ def asm_definitions(spark, sf_dir):
     key = F.col("o_orderkey")
     cursors = read(spark, sf_dir, "orders").select(key.alias("id"), F.concat(F.lit("orders/o"), key, F.lit(".s")).alias("uri"), F.lit(4).alias("line"), F.concat(F.lit("p"), key + 1).alias("name"))
     return intel.definitions(cursors, project.symbols(files), project.exports(files)).select("id", "uri", "kind")
+
+
+def _cursors(spark, sf_dir) -> DataFrame:
+    """A cursor on the call of the next order in each file."""
+    key = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(key.alias("id"), F.concat(F.lit("orders/o"), key, F.lit(".s")).alias("uri"), F.lit(4).alias("line"), F.lit(3).alias("character"))
+
+
+@query("SELECT o_orderkey AS id, 'p' || (o_orderkey + 1) AS name, 6 AS from_char, (7 + length((o_orderkey + 1)::VARCHAR))::INTEGER AS to_char FROM orders")
+def asm_cursors(spark, sf_dir):
+    from quarry.plans import intel
+
+    return intel.named(_cursors(spark, sf_dir), _project(spark, sf_dir)).select("id", "name", "from_char", "to_char")
+
+
+_SITES = """calls AS (
+         SELECT o_orderkey AS id, 'p' || (o_orderkey + 1) AS name FROM orders),
+       sites AS (
+         SELECT 'p' || (o_orderkey + 1) AS name, 'orders/o' || o_orderkey || '.s' AS uri, 4 AS r_sl FROM orders UNION ALL
+         SELECT 'p' || o_orderkey, 'orders/o' || o_orderkey || '.s', 1 FROM orders)"""
+
+
+@query(f"WITH {_SITES} SELECT id, uri, r_sl FROM calls JOIN sites USING (name)")
+def asm_references(spark, sf_dir):
+    from quarry.plans import intel
+    from quarry.sources import project
+
+    rows, cursors = project.index(_project(spark, sf_dir)), _cursors(spark, sf_dir).withColumn("name", F.concat(F.lit("p"), F.col("id") + 1))
+    return intel.references_at(cursors, project.symbols_in(rows), project.references_in(rows)).select("id", "uri", "r_sl")
+
+
+@query(
+    f"""WITH {_SITES}, places AS (
+         SELECT * FROM sites UNION ALL SELECT 'p' || (o_orderkey + 1), 'orders/o' || o_orderkey || '.s', 0 FROM orders UNION ALL SELECT 'p' || o_orderkey, 'orders/o' || o_orderkey || '.s', 3 FROM orders)
+       SELECT id, uri, r_sl, 'renamed' AS new_text FROM calls JOIN places USING (name)"""
+)
+def asm_rename(spark, sf_dir):
+    from quarry.plans import intel
+    from quarry.sources import project
+
+    rows, cursors = project.index(_project(spark, sf_dir)), _cursors(spark, sf_dir).withColumn("name", F.concat(F.lit("p"), F.col("id") + 1))
+    return intel.rename_at(cursors, project.symbols_in(rows), project.references_in(rows), "renamed").select("id", "uri", "r_sl", "new_text")
+
+
+@query("SELECT o_orderkey AS id, '**p' || o_orderkey || '** (proc)' || chr(10) || chr(10) || 'one order' AS markdown FROM orders")
+def asm_hover(spark, sf_dir):
+    from quarry.plans import intel
+    from quarry.sources import project
+
+    files = _project(spark, sf_dir)
+    none = lambda kind: F.lit(None).cast(kind)
+    symbols = project.symbols(files).withColumns({"address": none("long"), "segment": none("string"), "size": none("long")})
+    own = symbols.where("kind = 'proc'").select(F.substring("name", 2, 20).cast("long").alias("id"), "name", "uri", "kind", "seq", F.col("s_sl").alias("line"))
+    return intel.hover(own, symbols, X.lines_of(files, ["uri"])).select("id", "markdown")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'import' AS kind FROM orders UNION ALL SELECT 'proc' FROM orders) GROUP BY kind")
+def asm_kinds(spark, sf_dir):
+    from quarry.sources import project
+
+    return R.by_kind(project.symbols(_project(spark, sf_dir)))
+
+
+@query(
+    """WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, greatest(1, count(*) OVER () // 60) AS step FROM orders)
+       SELECT o_orderkey FROM n WHERE i % step = 0 AND i < 60 * step"""
+)
+def systematic_sample(spark, sf_dir):
+    return R.systematic_sample(read(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'grep' WHEN 2 THEN NULL ELSE 'read' END AS kind FROM part"""
+)
+def shell_kinds(spark, sf_dir):
+    from quarry.functions.shell import command_kinds
+
+    path = F.concat(F.lit("src/part_"), F.col("p_partkey"), F.lit(".s"))
+    forms = [F.concat(F.lit("for f in "), path, F.lit("; do head $f; done")), F.concat(F.lit("find . -name '*.s' | xargs grep "), "p_brand"), F.concat(F.lit("sed -i s/a/b/ "), path), F.concat(F.lit('echo "$(cat '), path, F.lit(')"'))]
+    command = F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return command_kinds(read(spark, sf_dir, "part").select("p_partkey", command.alias("command"))).select("p_partkey", "kind")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 2 = 0 THEN 'left' WHEN l_linenumber % 3 = 0 THEN 'right' END AS root FROM lineitem")
+def deepest_root(spark, sf_dir):
+    from quarry.sources import project
+
+    uri = F.concat(F.when(F.col("l_orderkey") % 2 == 0, "work/a/deep/").when(F.col("l_linenumber") % 3 == 0, "work/a/").otherwise("else/"), F.lit("x.s"))
+    rows = project.with_root(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", uri.alias("uri")), ["work/a", "work/a/deep"])
+    return rows.select("l_orderkey", "l_linenumber", F.when(F.col("root") == "work/a/deep", "left").when(F.col("root") == "work/a", "right").alias("root"))

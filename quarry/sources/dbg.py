@@ -1,22 +1,45 @@
 """Linker debug files: lines `kind<TAB>key=value,…` as raw records, and the symbols that they describe."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import glob
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import hex_value, id_list
 from quarry.operators.joins import resolve_paths
 
+RECORD = r"^\w+\t"
+
+
+def dbg_files(root: str) -> list[str]:
+    """The linker's debug files of a project: build/*.dbg, then obj/*.dbg, each sorted."""
+    return [p for folder in ("build", "obj") for p in sorted(glob.glob(f"{glob.escape(root)}/{folder}/*.dbg"))]
 
-def read_dbg(spark: SparkSession, path: str) -> DataFrame:
-    """path, seq, kind and fields (map of strings) of each record. Blank lines and # lines are skipped; another malformed one raises."""
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n")).alias("seq", "line"))
-    lines = lines.where(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    return lines.where(~F.col("line").rlike(r"^\s*(#.*)?$"))
+
+
+def broken_dbg(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, seq and line of what is no record. A file with such a line gives no records at all."""
+    return _lines(spark, path).where(~F.col("line").rlike(RECORD))
+
+
+def read_dbg(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, seq, kind and fields (map of strings) of each record. Blank lines and # lines are skipped; files of `broken_dbg` are left out."""
+    lines = _lines(spark, path).withColumn("__good", F.min(F.col("line").rlike(RECORD)).over(Window.partitionBy("path"))).where("__good")
     kind, body = F.regexp_extract("line", r"^(\w+)\t", 1), F.regexp_extract("line", r"^\w+\t(.*)$", 1)
-    checked = F.when(kind == "", F.raise_error(F.concat(F.lit("malformed debug record: "), "line"))).otherwise(kind)
     pair = r"(\w+)=(\"[^\"]*\"|[^,]*)"
     keys, values = F.regexp_extract_all(body, F.lit(pair), F.lit(1)), F.regexp_extract_all(body, F.lit(pair), F.lit(2))
-    return lines.select("path", "seq", checked.alias("kind"), F.map_from_arrays(keys, F.transform(values, lambda v: F.regexp_replace(v, '^"|"$', ""))).alias("fields"))
+    return lines.select("path", "seq", kind.alias("kind"), F.map_from_arrays(keys, F.transform(values, lambda v: F.regexp_replace(v, '^"|"$', ""))).alias("fields"))
+
+
+def write_symbols(records: DataFrame, path: str, name: str | None = None) -> None:
+    """Symbol records as JSON lines in the order of their names, of one name if it is given."""
+    own = records if name is None else records.where(F.col("name") == name)
+    own.orderBy("name", "path", "seq").write.mode("overwrite").json(path)
 
 
 def records(raw: DataFrame, kind: str, **types: str) -> DataFrame:

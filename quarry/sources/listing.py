@@ -130,3 +130,16 @@ def enabled_languages(text: str) -> set[str]:
         elif not line[0].isspace():
             key = None
     return lists.get("language_servers", lists.get("languages", set()))
+
+
+def project_of(folder: str, most: int = 64) -> str | None:
+    """The nearest folder at or above this one, at most so many steps up, that holds .serena/project.yml."""
+    folder = os.path.abspath(folder)
+    for _ in range(most):
+        if os.path.isfile(os.path.join(folder, ".serena", "project.yml")):
+            return folder
+        above = os.path.dirname(folder)
+        if above == folder:
+            return None
+        folder = above
+    return None

@@ -1,9 +1,12 @@
 """Tool calls of agent transcripts: JSON lines below a folder, as rows in buckets, and the report as Markdown."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.listing import enabled_languages
+
 # File suffixes, the tools of each bucket, and shell commands that read a file.
 SUFFIXES = (".s", ".inc", ".asm", ".mac")
 SERVER = "mcp__serena__"
@@ -64,6 +67,27 @@ def tool_calls(spark: SparkSession, root: str, since: str | None = None) -> Data
     return calls.where("at IS NOT NULL AND c.type = 'tool_use' AND c.name IS NOT NULL").select("session", "project", "at", F.col("c.name").alias("tool"), F.col("c.input").alias("input"))
 
 
+def append_json(report: DataFrame, path: str) -> None:
+    """The report as JSON lines, with the moment of writing, after those that are there."""
+    report.withColumn("written_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def projects_in(spark: SparkSession, root: str, language: str = "ca65") -> DataFrame:
+    """project: folders below root whose project.yml lists the language; the scope of a report."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "project.yml").load(f"{root}/*")
+
+    @F.pandas_udf("boolean")
+    def lists(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: language in enabled_languages(bytes(c).decode("utf-8", "replace"))).astype(bool)
+
+    return names.where(lists("content")).select(F.element_at(F.split("path", "/"), -2).alias("project"))
+
+
+def projects_listed(spark: SparkSession, path: str) -> DataFrame:
+    """project: the names of a JSON array in a file."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("project"))
+
+
 def markdown(report: DataFrame, project: str = "project") -> str:
     """The report of reports.usage_report as a table, one line a project and the total last. Projects are few."""
     rows = report.orderBy("is_total", project).collect()

@@ -16,8 +16,8 @@ from quarry.llm._common import drop_saved, free_names, saved
 
 #: A run counts if it has at least so many words: short lines that meet by chance stay.
 MIN_WORDS = 8
-#: A name that more than one in so many of all places has is joined apart, by a table of at most so many names.
-HOT = 2000
+#: The places of a name that more than one in HOT of all places has are joined in SALTS parts; there are at most HOT such names.
+HOT, SALTS = 2000, 32
 PLACE = ["__doc", "__sum", "__i"]
 NAME = ["__a", "__b"]
 SOURCE = ["__fd", "__fs", "__delta"]
@@ -39,9 +39,11 @@ def _repeats(level: DataFrame, k: int, least: int, used: list) -> DataFrame | No
     used.append(first)
     if first.isEmpty():
         return None
-    hot = F.broadcast(first.where(F.col("__n") > least).select(*NAME, "__first"))
-    rare = level.join(F.broadcast(first.where(F.col("__n") > least).select(*NAME)), NAME, "left_anti").join(first.where(F.col("__n") <= least).select(*NAME, "__first"), NAME)
-    return saved(rare.unionByName(level.join(hot, NAME)), f"repeats-{k}")
+    hot = F.col("__n") > least
+    some = F.broadcast(first.where(hot).select(*NAME, F.lit(SALTS).alias("__salts")))
+    salted = level.join(some, NAME, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__doc", "__i"), "__salts"), F.lit(0)).cast("int")).drop("__salts")
+    every = first.select(*NAME, "__first", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))).alias("__salt"))
+    return saved(salted.join(every, [*NAME, "__salt"]).drop("__salt"), f"repeats-{k}")
 
 
 def _islands(rows: DataFrame, by: list[str], *facts) -> DataFrame:
@@ -71,8 +73,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
         covers.append(later.select(*PLACE, F.lit(1 << k).alias("__len"), "__words", F.col("__first.__doc").alias("__fd"), F.col("__first.__sum").alias("__fs"), (F.col("__i") - F.col("__first.__i")).alias("__delta")))
         right = again.select("__doc", "__sum", (F.col("__i") - (1 << k)).alias("__i"), F.col("__a").alias("__a2"), F.col("__b").alias("__b2"), F.col("__words").alias("__words2")).distinct()
         a, b = _name("__a", "__b", "__a2", "__b2")
-        level = saved(again.join(right, PLACE).select(*PLACE, a.alias("__a"), b.alias("__b"), (F.col("__words") + F.col("__words2")).alias("__words")), f"level-{k + 1}")
-        used.append(level)
+        level = again.join(right, PLACE).select(*PLACE, a.alias("__a"), b.alias("__b"), (F.col("__words") + F.col("__words2")).alias("__words"))
         k += 1
     if not covers:
         covers = [lines.limit(0).select(*PLACE, F.lit(1).alias("__len"), "__words", F.col("__doc").alias("__fd"), F.col("__sum").alias("__fs"), F.col("__i").alias("__delta"))]

@@ -1,41 +1,66 @@
 """Pre-tokens and merges of the public BPE files, with a shortcut that gives the library's own results.
 
-A text whose characters all lie in SAFE ranges is split here by the same pattern the library uses, with its
-character classes written out; every other text, and every text that may hold a special string, goes to the
-library whole. A pre-token found here is looked up in a table: strings proven to encode alone as one token
-come first, merges of other strings are made by the library once and remembered up to a bound.
+A text is cut into words with the white space before them; no pre-token crosses such a cut. Words whose characters are all safe
+are split here by the same pattern the library uses, with its character classes written out; every other word, and every text
+that may hold a special string, goes to the library. A pre-token found here is looked up in a table: strings proven to encode
+alone as one token come first, merges of other strings are made by the library once and remembered up to a bound.
+
+Safe is a character that had its class in Unicode 3.2 and has it still, so that no version of a library's tables differs in it, and
+that neither composes with others nor changes its lower case by what stands around it. That takes in the common scripts.
 """
 from __future__ import annotations
 
+import functools
 import re
 import struct
+import sys
 import unicodedata
 
-#: Letters, numbers, punctuation and spaces whose class and lower case do not depend on a Unicode version.
-SAFE_RANGES = ((0x00, 0x12F), (0x132, 0x148), (0x14A, 0x17E), (0x2010, 0x2027), (0x2030, 0x203A), (0x20AC, 0x20AC))
-#: White space of the Unicode White_Space property in those ranges (not the separators 0x1C to 0x1F).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0"
-#: How many merged strings a worker remembers.
-REMEMBERED = 400_000
+#: White space of the Unicode White_Space property (not the separators 0x1C to 0x1F).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Letters whose lower case depends on what follows or is several characters, and the parts that compose to syllables.
+EXCEPT = {0x130, 0x3A3, *range(0x1100, 0x1200)}
+#: How many merged strings a worker remembers, and how many characters one may have for that.
+REMEMBERED, LONGEST = 400_000, 64
+
+
+@functools.cache
+def safe_classes() -> dict[str, list[tuple[int, int]]]:
+    """Ranges of safe characters by the first letter of their class: L, N, and o for others."""
+    out: dict[str, list[tuple[int, int]]] = {"L": [], "N": [], "o": []}
+    old = unicodedata.ucd_3_2_0
+    for c in range(sys.maxunicode + 1):
+        x = chr(c)
+        now = unicodedata.category(x)
+        if now[0] == "M" or now in ("Cn", "Cs", "Co") or now[0] != old.category(x)[0] or c in EXCEPT or len(x.lower()) > 1 or old.category(x.lower()) == "Cn":
+            continue
+        if unicodedata.normalize("NFC", x) != x or unicodedata.normalize("NFC", x.lower()) != x.lower() or unicodedata.combining(x):
+            continue
+        held = out[now[0] if now[0] in "LN" else "o"]
+        if held and held[-1][1] == c - 1:
+            held[-1] = (held[-1][0], c)
+        else:
+            held.append((c, c))
+    return out
 
 
-def _chars(first: str) -> str:
-    return "".join(re.escape(chr(c)) for a, b in SAFE_RANGES for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == first)
+def _ranges(*kinds: str) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for k in kinds for a, b in safe_classes()[k])
 
 
 def safe_pattern() -> re.Pattern:
-    return re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in SAFE_RANGES).replace("\\", "\\\\") + "]")
+    return re.compile(f"[^{_ranges('L', 'N', 'o')}]")
 
 
 def byte_level_pattern() -> re.Pattern:
     """The byte-level split: contractions, then runs of letters, numbers or others with one space before, then spaces."""
-    le, nu = _chars("L"), _chars("N")
+    le, nu = _ranges("L"), _ranges("N")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{le}]+| ?[{nu}]+| ?[^{SPACES}{le}{nu}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
 def word_level_pattern() -> re.Pattern:
     """The split of the word-end vocabulary: contractions, letters, single numbers, others; white space goes."""
-    le, nu = _chars("L"), _chars("N")
+    le, nu = _ranges("L"), _ranges("N")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{le}]+|[{nu}]|[^{SPACES}{le}{nu}]+")
 
 
@@ -55,6 +80,7 @@ class Encoder:
         self.word_level = self.library.normalizer is not None
         self.find = (word_level_pattern() if self.word_level else byte_level_pattern()).findall
         self.unsafe = safe_pattern().search
+        self.words = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.whole = self.whole_tokens()
@@ -83,27 +109,40 @@ class Encoder:
             proven |= {s: strings[s] for s, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)) if e.ids == [strings[s]]}
         return proven
 
-    def _split(self, text: str) -> list[str] | None:
-        if self.unsafe(text) or any(s in text for s in self.specials):
-            return None
-        return self.find(text.lower() if self.word_level else text)
+    def _parts(self, text: str):
+        """The text's pre-tokens in order, as lists; a string among them is a stretch for the library."""
+        if any(s in text for s in self.specials):
+            yield text
+        elif not self.unsafe(text):
+            yield self.find(text.lower() if self.word_level else text)
+        else:
+            safe: list[str] = []
+            for word in self.words(text):
+                if self.unsafe(word):
+                    if safe:
+                        yield self.find("".join(safe).lower() if self.word_level else "".join(safe))
+                        safe = []
+                    yield word
+                else:
+                    safe.append(word)
+            if safe:
+                yield self.find("".join(safe).lower() if self.word_level else "".join(safe))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pieces = self._split(text)
-        if pieces is None:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.ids.__getitem__, pieces))
+        out = []
+        for part in self._parts(text) if text else ():
+            if isinstance(part, str):
+                ids = self.library.encode(part, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out += map(self.ids.__getitem__, part)
+        return b"".join(out)
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        pieces = self._split(text)
-        if pieces is None:
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        return sum(map(self.counts.__getitem__, pieces))
+        n = 0
+        for part in self._parts(text) if text else ():
+            n += len(self.library.encode(part, add_special_tokens=False).ids) if isinstance(part, str) else sum(map(self.counts.__getitem__, part))
+        return n
 
 
 class _Table(dict):
@@ -115,7 +154,7 @@ class _Table(dict):
 
     def __missing__(self, piece: str):
         got = self.keep(self.encode(piece, add_special_tokens=False).ids)
-        if len(self) < self.most:
+        if len(self) < self.most and len(piece) <= LONGEST:
             self[piece] = got
         return got
 

@@ -138,12 +138,21 @@ def test_encoder_is_the_library(encoders, text):
 
 
 def test_each_safe_character(encoders):
+    """Every safe character alone, between letters, between numbers and at a word's end; the library encodes them in batches."""
+    every = [chr(c) for ranges in bpe.safe_classes().values() for a, b in ranges for c in range(a, b + 1)]
+    texts = [f"a{c}b 1 {c}{c} 2 {c}x" for c in every]
     for own, library in encoders.values():
-        for a, b in bpe.SAFE_RANGES:
-            for c in range(a, b + 1):
-                for text in (f"a{chr(c)}b", f"1 {chr(c)}{chr(c)} 2", f" {chr(c)}x"):
-                    ids = library.encode(text, add_special_tokens=False).ids
-                    assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids), (hex(c), text)
+        assert sum(own.unsafe(t) is None for t in texts) == len(texts) > 40_000
+        for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert own.encode(text) == struct.pack(f"<{len(e.ids)}I", *e.ids), text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("aZ'sé.1 \n\t\u3000日本ΣσςİжЖ😀🏽\u0301ก한가\u1112\u1161")), st.characters(codec="utf-8")), max_size=30))
+def test_encoder_is_the_library_in_all_scripts(encoders, text):
+    for own, library in encoders.values():
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids) and own.count(text) == len(ids)
 
 
 def test_token_counts_edges(spark, encoders):

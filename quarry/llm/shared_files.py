@@ -5,6 +5,7 @@ systems read and write them, and a worker maps a copy that it has fetched and al
 """
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -89,3 +90,19 @@ def mapped_arrays(uri: str) -> list[np.ndarray]:
             at += -(-size * dtype.itemsize // 8) * 8
         cache["arrays", uri] = out
     return cache["arrays", uri]
+
+
+@contextlib.contextmanager
+def written(uri: str):
+    """A file to write in pieces; it has its name when it is whole."""
+    if (path := local_path(uri)) is not None:
+        own = f"{path}.{uuid.uuid4().hex}.part"
+        with open(own, "wb") as f:
+            yield f
+        os.replace(own, path)
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    with store.open_output_stream(at) as f:
+        yield f

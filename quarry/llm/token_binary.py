@@ -1,17 +1,18 @@
-"""Token ids in directly addressable codes, written as a table of self-contained segments.
+"""Token ids in directly addressable codes, written as files of self-contained segments with a table of where each stands.
 
 Ids are cut into chunks of CHUNK_BITS bits. Level 0 holds the lowest chunk of every id; a bitmap says which ids go on,
 and level k+1 holds the next chunk of just those. A rank directory over each bitmap turns a place on one level into a
 place on the next, so that the id at any place is read from one byte per level, without decoding what stands before.
 
-A segment (one row of the table) is one binary image:
+A segment is one binary image in a file, which is mapped and not read, so that one token costs the few bytes that it takes:
   magic "DAC1", u32 documents, u64 tokens, u32 levels, i64 ids of documents, u8 null flags, u64 first places (documents + 1),
   then for each level: u64 entries, the chunks (u8), the bitmap (u8, little-endian bits), the directory (u32 ones before every
-  RANK_BITS bits). Spark writes and reads the table, so that it may be in any store that Spark knows.
+  RANK_BITS bits). Each task writes one file; the table (Parquet) has part, seg, n_docs, n_ids, file, offset and size of each segment.
 """
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import reading_parts, scratch_path, sliced
+from quarry.llm._common import partitions, reading_parts, scratch_path, sliced
+from quarry.llm.shared_files import make_folder, mapped, written
 from quarry.llm.token_counts import encoder, vocabulary
 
 CHUNK_BITS = 8
@@ -29,6 +31,7 @@ RANK_BITS = 512
 #: A segment ends after so many tokens or documents: this bounds its memory and that of its reader.
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 4096
+TABLE = "part int, seg int, n_docs long, n_ids long, file string, offset long, size long"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -129,65 +132,94 @@ def write_token_segments(df: DataFrame, vocabulary_path: str, path: str, end_id:
     vocab = vocabulary(spark, vocabulary_path)
     end = struct.pack("<I", end_id)
 
+    folder = f"{path}/segments"
+    make_folder(folder)
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, part, seg = encoder(vocab.value).encode, TaskContext.get().partitionId(), 0
-        names, ids, size = [], [], 0
-
-        def done():
-            return pd.DataFrame({"part": [part], "seg": [seg], "n_docs": [len(names)], "n_ids": [size // 4], "image": [segment(names, ids)]})
-
-        for batch in sliced(batches, "t"):
-            for d, t in zip(batch["d"], batch["t"]):
-                ids.append(enc(t) + end)
-                names.append(None if pd.isna(d) else int(d))
-                size += len(ids[-1])
-                if size >= 4 * SEGMENT_TOKENS or len(names) >= SEGMENT_DOCS:
-                    yield done()
-                    seg, names, ids, size = seg + 1, [], [], 0
-        if names:
-            yield done()
+        enc, part = encoder(vocab.value).encode, TaskContext.get().partitionId()
+        name, rows = f"{part}-{uuid.uuid4().hex}.dac", []  # a task that runs twice writes two files, and the table names one
+        names, ids, size, at = [], [], 0, 0
+
+        def put(out):
+            nonlocal names, ids, size, at
+            image = segment(names, ids)
+            out.write(image + bytes(-len(image) % 8))
+            rows.append((part, len(rows), len(names), size // 4, name, at, len(image)))
+            at += -(-len(image) // 8) * 8
+            names, ids, size = [], [], 0
+
+        with written(f"{folder}/{name}") as out:
+            for batch in sliced(batches, "t"):
+                for d, t in zip(batch["d"], batch["t"]):
+                    ids.append(enc(t) + end)
+                    names.append(None if pd.isna(d) else int(d))
+                    size += len(ids[-1])
+                    if size >= 4 * SEGMENT_TOKENS or len(names) >= SEGMENT_DOCS:
+                        put(out)
+            if names:
+                put(out)
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in TABLE.split(", ")])
 
     (
         df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
         .repartitionByRange(reading_parts(df), "d")
         .sortWithinPartitions("d", "t")
-        .mapInPandas(encode, "part int, seg int, n_docs long, n_ids long, image binary")
-        .write.parquet(path)
+        .mapInPandas(encode, TABLE)
+        .write.parquet(f"{path}/table")
     )
 
 
-def read_token_segments(spark, path: str, with_ids: bool = False) -> DataFrame:
-    """The documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, on request, ids.
+def opened(folder: str, file: str, offset: int, size: int) -> Segment:
+    """A segment of a mapped file."""
+    return Segment(mapped(f"{folder}/{file}", np.uint8)[offset : offset + size])
 
-    The starts come from the segments' token counts alone: totals of each part go to the driver (as many as the
-    write had partitions), the rest is a sum within a part.
-    """
-    files = spark.read.schema("part int, seg int, n_docs long, n_ids long, image binary").parquet(path)
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+
+def _placed(spark, path: str) -> DataFrame:
+    """The table with `base`, the ids before each segment. Totals of each part go to the driver, as many as the write had tasks."""
+    files = spark.read.schema(TABLE).parquet(f"{path}/table")
     bases, base = [], 0
-    for part, n in totals:
+    for part, n in sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         bases.append((part, base))
         base += n
     parts = spark.createDataFrame(bases, "part int, part_base long")
     before = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    segments = (
-        files.select("part", "seg", "n_ids")
-        .join(F.broadcast(parts), "part")
-        .select("part", "seg", (F.col("part_base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("base"))
-    )
+    return files.join(F.broadcast(parts), "part").withColumn("base", F.col("part_base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("part_base")
+
+
+def tokens_at(spark, path: str, places: DataFrame) -> DataFrame:
+    """place (a column of `places`, counted over all documents) and the id there, each read by itself; places outside have no row."""
+    folder = f"{path}/segments"
+    rows = _placed(spark, path).select("file", "offset", "size", "base", (F.col("base") + F.col("n_ids")).alias("end"))
+    run = lambda c: F.floor(c / SEGMENT_TOKENS)
+    # A segment lies in few runs of places, which are the key of the join.
+    held = rows.where("end > base").withColumn("run", F.explode(F.sequence(run(F.col("base")), run(F.col("end") - 1))))
+    asked = places.select(F.col("place").cast("long").alias("place")).withColumn("run", run(F.col("place"))).join(held, "run").where("place >= base AND place < end")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (file, offset, size), part in batch.groupby(["file", "offset", "size"]):
+                s = opened(folder, file, offset, size)
+                yield pd.DataFrame({"place": part["place"], "id": [s.at(int(p - b)) for p, b in zip(part["place"], part["base"])]})
+
+    return asked.mapInPandas(read, "place long, id long")
+
+
+def read_token_segments(spark, path: str, with_ids: bool = False) -> DataFrame:
+    """The documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, on request, ids."""
+    folder = f"{path}/segments"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, seg, image in zip(batch["part"], batch["seg"], batch["image"]):
-                s = Segment(image)
+            for file, offset, size, base in zip(batch["file"], batch["offset"], batch["size"], batch["base"]):
+                s = opened(folder, file, offset, size)
                 runs = [s.document(i) for i in range(len(s.doc_ids))]
-                out = pd.DataFrame({"part": part, "seg": seg, "doc_id": pd.array(s.doc_ids, dtype="Int64"), "at": s.starts[:-1].astype("int64"), "n_tokens": [len(r) for r in runs], "ids_crc32": [zlib.crc32(r.tobytes()) for r in runs]})
+                out = pd.DataFrame({"doc_id": pd.array(s.doc_ids, dtype="Int64"), "start": s.starts[:-1].astype("int64") + base, "n_tokens": [len(r) for r in runs], "ids_crc32": [zlib.crc32(r.tobytes()) for r in runs]})
                 if with_ids:
                     out["ids"] = [r.astype("int64") for r in runs]
                 yield out
 
-    docs = files.select("part", "seg", "image").mapInPandas(decode, "part int, seg int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-    return docs.join(segments, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    rows = _placed(spark, path).repartition(partitions(spark), "part", "seg")
+    return rows.select("file", "offset", "size", "base").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def token_binary(df: DataFrame, vocabulary_path: str, end_id: int, path: str | None = None) -> DataFrame:

@@ -189,6 +189,13 @@ def test_token_binary_edges(spark, encoders, tmp_path):
         assert (at, d, n, crc) == (start, doc, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += n
     assert token_binary.token_binary(edge(spark, []), P.path("word_bpe_49k.json"), 2).count() == 0
+    path = f"file://{tmp_path}/store"
+    token_binary.write_token_segments(edge(spark), P.path("word_bpe_49k.json"), path, 2)
+    flat = [i for *_, text in rows for i in [*library.encode(text or "", add_special_tokens=False).ids, 2]]
+    places = [0, 1, 5, 700, 60_000, len(flat) - 1, len(flat), -1]
+    got = {r["place"]: r["id"] for r in token_binary.tokens_at(spark, path, spark.createDataFrame([(p,) for p in places], "place long")).collect()}
+    assert got == {p: flat[p] for p in places if 0 <= p < len(flat)}
+    assert sum((r["ids"] for r in sorted(token_binary.read_token_segments(spark, path, with_ids=True).collect(), key=lambda r: r["start"])), []) == flat
 
 
 @settings(max_examples=60, deadline=None)

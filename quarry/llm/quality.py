@@ -24,9 +24,9 @@ from quarry.llm._common import sliced
 SAMPLE_ROWS = 12_000
 #: A feature needs so many texts of the sample.
 LEAST_TEXTS = 4
-#: And so many standard errors between its texts' share below the top grade and that of all texts; a small sample can't
-#: show as many, so it needs 2 and a twentieth of the root of its rows.
-LEAST_Z = 7.0
+#: And so many standard errors between its texts' share below the top grade and that of all texts, for n texts of the sample:
+#: LEAST_Z for chance, and EFFECT times the root of n for the size of the difference, as standard errors shrink with it.
+LEAST_Z, EFFECT = 2.0, 1 / 20
 STEPS = 800
 RIDGE = 1e-5
 #: A text is kept if its grade is `top` with at least this probability.
@@ -35,7 +35,7 @@ KEEP_AT = 0.7
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SYMBOLS = re.compile(r"[^\w\s]+").findall
 _CAPITALS = re.compile(r"[A-Z]{2,}").findall
-#: Longer words also count by so many first letters, which inflected forms share.
+#: Longer words also count, beside as a whole, by so many first letters, which inflected forms share.
 PREFIX = 4
 
 
@@ -47,7 +47,7 @@ def features(text: str | None) -> np.ndarray:
     distinct = set(words)
     names = [w.encode() for w in distinct]
     names += [b"\x03" + w.encode() for w in {w[:PREFIX] for w in distinct if len(w) > PREFIX}]
-    names += [b"\x01" + s.encode("utf-8", "replace") for s in {s[:8] for s in symbols}]
+    names += [b"\x01" + s.encode("utf-8", "replace") for s in set(symbols)]
     for name, part, whole in (("c", len(_CAPITALS(text)), len(words) + 1), ("s", len(symbols), len(words) + 1), ("d", len(distinct), len(words) + 1)):
         names.append(f"\x02{name}{min(10, int(20 * part / whole)) if name != 'd' else int(10 * part / whole)}".encode())
     return np.unique(np.fromiter(map(zlib.crc32, names), dtype=np.uint32, count=len(names)))
@@ -80,7 +80,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, least_texts: int =
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     low = (grades < top).mean()
     z = (np.bincount(columns, weights=(grades < top)[row]) - n * low) / np.sqrt(n * max(low * (1 - low), 1e-9))
-    used = (n >= least_texts) & (np.abs(z) >= min(least_z, 2 + math.sqrt(len(rows)) / 20))
+    used = (n >= least_texts) & (np.abs(z) >= least_z + EFFECT * math.sqrt(len(rows)))
     renamed = np.cumsum(used) - 1
     keep = used[columns]
     row, columns, keys = row[keep], renamed[columns[keep]], keys[used]

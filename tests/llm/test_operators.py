@@ -206,6 +206,31 @@ def test_best_two_fit(lengths):
     assert len(bins) <= max(1, 2 * -(-sum(lengths) // 64)) if lengths else not bins
 
 
+def plain_two_fit(lengths, capacity):
+    """The rule by lists: fill greedily with the longest that fits, then let the two tightest take the smallest one's place."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own = []
+        while fits := [n for n in left if n <= capacity - sum(own)]:
+            own.append(fits[0])
+            left.remove(fits[0])
+        gap = capacity - sum(own) + own[-1]
+        if gap > own[-1]:
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if own[-1] < a + b <= gap]
+            if pairs:
+                _, a, b = max(pairs)
+                left = sorted([n for n in left if n not in (a, b)] + [n for k in {a, b} for n in [k] * (left.count(k) - [a, b].count(k))] + [own.pop()], reverse=True)
+                own += [a, b]
+        bins.append(own)
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40))
+def test_best_two_fit_is_the_plain_one(lengths):
+    assert [[lengths[i] for i in b] for b in packing.best_two_fit(lengths, 40)] == plain_two_fit(lengths, 40)
+
+
 def test_two_replace_the_smallest():
     assert sorted(map(sorted, ([[6, 4, 3, 3][i] for i in b] for b in packing.best_two_fit([6, 4, 3, 3], 12)))) == [[3, 3, 6], [4]]
 
@@ -307,6 +332,25 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_the_fit_is_a_maximum():
+    """No small step away from the fitted weights and thresholds makes the rated sample more likely."""
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, 600)
+    rows = [np.unique(np.concatenate([rng.choice(40, 6), [100 + g] if rng.random() < 0.8 else [], [200] if g == 2 and rng.random() < 0.5 else []]).astype(np.uint32)) for g in grades]
+    model = quality.fit(rows, grades, 2, least_z=0)
+    x = np.array([[k in set(r.tolist()) for k in model.keys] for r in rows], float)
+
+    def cost(w, theta):
+        tail = np.hstack([np.ones((len(rows), 1)), 1 / (1 + np.exp(theta - (x @ w)[:, None])), np.zeros((len(rows), 1))])
+        own = np.arange(len(rows))
+        return -np.log(tail[own, grades] - tail[own, grades + 1]).mean() + quality.RIDGE / 2 * (w**2).sum()
+
+    best = cost(model.weights, model.thresholds)
+    for _ in range(200):
+        assert cost(model.weights + rng.normal(size=len(model.weights)) * 0.02, model.thresholds + rng.normal(size=2) * 0.02) > best - 1e-4
+    assert len(model.keys) > 2 and [model.score(r) for r in rows] == pytest.approx((x @ model.weights).tolist())
+
+
 # ---- 6
 
 
@@ -519,14 +563,67 @@ def test_line_dedup_keeps_other_columns(spark):
     assert all(r["__doc"] == 7 and r["removed"] == 7 and r["kept"] == "x" for r in rows) and {r["lines_gone"] for r in rows} > {0}
 
 
-# ---- all queries hold their SQL; the pipeline runs end to end
+# ---- queries with SQL against it; no operator changes the session; the pipeline runs end to end
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ("op1_ngram_jaccard", "op8_line_dedup", "op10_embedding_dedup"))
+def test_queries_hold_their_sql(spark, name):
+    import duckdb
+
+    from quarry.llm.queries import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.sql(ORACLES[name])
+    got = QUERIES[name](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_session_settings_stay(spark):
+    from quarry.llm.queries import QUERIES
+
+    before = dict(spark.conf.getAll)
+    late = QUERIES["op3_token_binary"](spark, SF)  # lazy; another operator is built in between
+    QUERIES["op2_token_counts"](spark, SF).count()
+    QUERIES["op5_quality_classifier"](spark, SF).count()
+    assert late.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and dict(spark.conf.getAll) == before
+
+
+def test_pipeline_runs(spark, tmp_path):
+    """run() on the smallest tables: each kept document's pieces are its tokens after line dedup, in gapless sequences."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    library, by, room = Tokenizer.from_file(P.path("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        room[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in room.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1].tolist()] and ends[-1] <= 4096
+    from quarry.llm.quality import fit_quality, grades_of, score_quality
+
+    table = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    fine = {r["doc_id"] for r in score_quality(table("documents"), fit_quality(table("documents"), grades_of(table("labels")))).where("kept").collect()}
+    left, _, gone = plain_lines([(d, docs[d]) for d in fine if docs[d] is not None])
+    left = {d: t for d, t in left.items() if not gone[d] or len(gone[d]) < len(docs[d].split("\n"))}
+    groups = plain_components({d: plain_shingles(t) for d, t in left.items()})
+    assert set(by) == {d for d in left if groups[d] == d}
+    for d, pieces in by.items():
+        ids = library.encode(left[d], add_special_tokens=False).ids + [1]
+        assert sorted(pieces) == [(k, at, len(ids[at : at + 4096]), zlib.crc32(struct.pack(f"<{len(ids[at : at + 4096])}I", *ids[at : at + 4096]))) for k, at in enumerate(range(0, len(ids), 4096))]
+
 
 
 def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline
 
     rows = EDGE + [(100 + i, f"document number {i} " + " ".join(f"z{i}_{k}" for k in range(50))) for i in range(30)]
-    spark.createDataFrame([(d, t, "en", f"s{(d or 0) % 2}", len(t or ""), 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, slot int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, t, "en", f"s{(d or 0) % 2}", len(t or ""), 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, slot int").withColumns({c: F.lit(9) for c in ("__doc", "__key", "__sum", "__spans", "place", "removed", "__q_kept")}).write.parquet(str(tmp_path / "documents.parquet"))
     labels(spark, [(1, 1, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns = docs.columns
@@ -537,6 +634,7 @@ def test_pipeline_edges(spark, tmp_path):
         before, docs = docs, spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
         assert docs.count() <= before.count()
     kept = {r["doc_id"] for r in docs.collect()}
+    assert all(r[c] == 9 for r in docs.collect() for c in ("__doc", "__key", "__sum", "__spans", "place", "removed", "__q_kept"))
     assert {100 + i for i in range(30)} <= kept and 1 in kept and 2 not in kept
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == kept

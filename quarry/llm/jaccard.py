@@ -47,6 +47,8 @@ SEEDS = 4
 GROUP = 8
 #: Classes of a large group on each side of one block of comparisons.
 BLOCK = 1024
+#: Tasks that the classes of one large group are dealt to.
+SALTS = 32
 EPS = 1e-9
 #: Index entries that a task gathers before it hands them on, and that one part holds at most, about.
 FLUSH, PART = 1 << 22, 1 << 22
@@ -351,9 +353,11 @@ def _open_pairs(large: DataFrame, sketches: DataFrame, links: DataFrame, partiti
     joined = components(links)
     rows = large.join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     open_ = rows.groupBy("g").agg(F.min("component").alias("__low"), F.max("component").alias("__high")).where("__low <> __high").select("g")
-    family = saved(rows.join(open_, "g", "left_semi").select("g", "b", "component"), "families")
-    blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = family.join(blocks, "g").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    # A large group is dealt to SALTS tasks: what is known of a group has a copy for each.
+    salt, every = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    family = saved(rows.select("g", "b", "component", salt).join(open_.select("g", every), ["g", "salt"], "left_semi"), "families")
+    blocks = family.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).select("g", "blocks", every)
+    held = family.join(blocks, ["g", "salt"]).drop("salt").join(sketches.toDF("b", "n", "sketch"), "b").withColumn("own", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = held.withColumn("other", F.explode(F.filter(every, lambda k: k >= F.col("own")))).select("g", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "b", "component", "n", "sketch")
     right = held.withColumn("other", F.explode(F.filter(every, lambda k: k < F.col("own")))).select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "b", "component", "n", "sketch")

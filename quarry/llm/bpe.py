@@ -20,6 +20,8 @@ import unicodedata
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Letters whose lower case depends on what follows or is several characters, and the parts that compose to syllables.
 EXCEPT = {0x130, 0x3A3, *range(0x1100, 0x1200)}
+#: Where the scripts begin that need the large character classes.
+NEAR = 0x180
 #: How many merged strings a worker remembers, and how many characters one may have for that.
 REMEMBERED, LONGEST = 400_000, 64
 
@@ -44,23 +46,23 @@ def safe_classes() -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _ranges(*kinds: str) -> str:
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for k in kinds for a, b in safe_classes()[k])
+def _ranges(*kinds: str, below: int = sys.maxunicode + 1) -> str:
+    return "".join(f"\\U{a:08x}-\\U{min(b, below - 1):08x}" for k in kinds for a, b in safe_classes()[k] if a < below)
 
 
 def safe_pattern() -> re.Pattern:
     return re.compile(f"[^{_ranges('L', 'N', 'o')}]")
 
 
-def byte_level_pattern() -> re.Pattern:
+def byte_level_pattern(below: int = sys.maxunicode + 1) -> re.Pattern:
     """The byte-level split: contractions, then runs of letters, numbers or others with one space before, then spaces."""
-    le, nu = _ranges("L"), _ranges("N")
+    le, nu = _ranges("L", below=below), _ranges("N", below=below)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{le}]+| ?[{nu}]+| ?[^{SPACES}{le}{nu}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
-def word_level_pattern() -> re.Pattern:
+def word_level_pattern(below: int = sys.maxunicode + 1) -> re.Pattern:
     """The split of the word-end vocabulary: contractions, letters, single numbers, others; white space goes."""
-    le, nu = _ranges("L"), _ranges("N")
+    le, nu = _ranges("L", below=below), _ranges("N", below=below)
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{le}]+|[{nu}]|[^{SPACES}{le}{nu}]+")
 
 
@@ -78,7 +80,9 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.word_level = self.library.normalizer is not None
-        self.find = (word_level_pattern() if self.word_level else byte_level_pattern()).findall
+        pattern = word_level_pattern if self.word_level else byte_level_pattern
+        # Small classes are searched faster; both patterns cut a text without far characters alike.
+        self.near, self.every, self.far = pattern(NEAR).findall, pattern().findall, re.compile(f"[^\\0-{chr(NEAR - 1)}]").search
         self.unsafe = safe_pattern().search
         self.words = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
@@ -109,6 +113,9 @@ class Encoder:
             proven |= {s: strings[s] for s, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)) if e.ids == [strings[s]]}
         return proven
 
+    def find(self, text: str) -> list[str]:
+        return self.every(text) if self.far(text) else self.near(text)
+
     def _parts(self, text: str):
         """The text's pre-tokens in order, as lists; a string among them is a stretch for the library."""
         if any(s in text for s in self.specials):

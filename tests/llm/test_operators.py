@@ -117,7 +117,8 @@ def test_shingles(texts):
 
 def test_components(spark):
     links = spark.createDataFrame([(5, 3), (3, 9), (9, 5), (7, 7), (1, 2), (2, 4), (4, 6), (6, 8), (1, 2)], "a long, b long")
-    assert {r["node"]: r["component"] for r in components(links).collect()} == {3: 3, 5: 3, 9: 3, 1: 1, 2: 1, 4: 1, 6: 1, 8: 1}
+    for few in (0, 2, 100):
+        assert {r["node"]: r["component"] for r in components(links, few=few).collect()} == {3: 3, 5: 3, 9: 3, 1: 1, 2: 1, 4: 1, 6: 1, 8: 1}
     assert components(links.limit(0)).count() == 0
 
 
@@ -671,8 +672,12 @@ def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
 def test_chains_take_few_rounds(spark):
     n, rounds = 2000, []
     links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
-    got = components(links, rounds).collect()
+    got = components(links, rounds, few=0).collect()
     assert len(got) == n and {r["component"] for r in got} == {0} and len(rounds) <= 15
+    # One task may finish at any point: at the start, after some rounds, or never.
+    rounds.clear()
+    assert sorted(components(links, rounds, few=300).collect()) == sorted(got) and rounds and 0 < rounds[-1] <= 300
+    assert sorted(components(links).collect()) == sorted(got)
 
 
 def test_nearest_neighbours_with_ties_and_offsets(spark):

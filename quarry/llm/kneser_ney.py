@@ -35,7 +35,7 @@ from quarry.llm.shingles import mix, word_hashes
 ORDER = 3
 #: Hash of the end of a text; no word has it but by chance.
 END = np.uint64(0x9E3779B97F4A7C15)
-#: Tokens that a task gathers before it sorts and hands on; texts scored at once hold about as many.
+#: Tokens that a task gathers before it sorts and hands on, about; texts scored at once hold half as many.
 FLUSH = 1 << 20
 #: Characters of a token, about.
 CHARS = 6
@@ -161,19 +161,32 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     if len(more) == 1:
         return [keys, more[0].astype(np.int64)]
     size, word, n = more
-    return [np.repeat(keys, size.astype(np.int64)), word, n.astype(np.int64)]
-
-
-def _summed(*parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns of keys and at last counts, sorted by the keys, with counts of equal keys added."""
-    *keys, counts = (np.concatenate(c) for c in zip(*parts))
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys, counts = [k[order] for k in keys], counts[order]
+    return [np.repeat(keys, size.astype(np.int64)), word.astype(np.uint32), n.astype(np.int64)]
+
+
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of keys and at last counts, sorted by the keys, with counts of equal keys added. Empties parts, so that memory holds them once."""
+    columns = []
+    while parts[0]:
+        own = [part.pop(0) for part in parts]
+        columns.append(np.concatenate(own) if len(own) > 1 else own[0])
+        del own
+    parts.clear()
+    order = np.argsort(columns[0], kind="stable") if len(columns) == 2 else np.lexsort(columns[-2::-1])
+    for k in range(len(columns)):
+        columns[k] = columns[k][order]
+    del order
+    *keys, counts = columns
+    del columns
     fresh = np.ones(len(counts), bool)
     if len(counts):
-        fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        fresh[1:] = keys[0][1:] != keys[0][:-1]
+        for k in keys[1:]:
+            fresh[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(fresh)
-    return [*(k[first] for k in keys), np.add.reduceat(counts, first) if len(first) else counts]
+    for k in range(len(keys)):
+        keys[k] = keys[k][first]
+    return [*keys, np.add.reduceat(counts, first) if len(first) else counts]
 
 
 def _dealt(part: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
@@ -212,14 +225,13 @@ def _by_part(rows: DataFrame, parts: int, work, schema: str = _SENT) -> DataFram
                     yield _sent(batch.iloc[k : k + 1])
                     continue
                 if part != at and held:
-                    yield from work(at, *_summed(*held))
-                    held = []
+                    yield from work(at, *_summed(held))
                 at = part
                 held.append(_unpack(blob))
                 if len(held) == 32:
-                    held = [_summed(*held)]
+                    held.append(_summed(held))
         if held:
-            yield from work(at, *_summed(*held))
+            yield from work(at, *_summed(held))
 
     return rows.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(run, schema)
 
@@ -247,9 +259,9 @@ class _Tokens:
 
 
 def _gathered(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
-    """Batches cut and joined to about FLUSH tokens."""
+    """Batches cut and joined to about FLUSH tokens, a quarter more at most unless one text has more."""
     held, size = [], 0
-    for batch in sliced(batches, column, CHARS * FLUSH):
+    for batch in sliced(batches, column, CHARS * FLUSH // 4):
         held.append(batch)
         size += int(batch[column].str.len().sum()) + CHARS * len(batch)
         if size >= CHARS * FLUSH:
@@ -461,26 +473,35 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             t = _Tokens(batch["t"])
             names, at = np.unique(t.hashes, return_inverse=True)
             ids = model.ids(names)[at]
+            del t.hashes, names, at
             first = t.before(ids, model.words)
             if order == 2:
                 columns = [first.astype(np.uint64) * base + ids.astype(np.uint64)]
             else:
-                columns = [t.before(first, model.words).astype(np.uint64) * base + first.astype(np.uint64), ids.astype(np.uint64)]
-            keys, *rest = _summed([*columns, np.ones(len(ids), np.int64)])
+                columns = [t.before(first, model.words).astype(np.uint64) * base + first.astype(np.uint64), ids.astype(np.uint32)]
+            columns.append(np.ones(len(ids), np.int64))
+            del t, ids, first
+            keys, *rest = _summed([columns])
             fresh = np.concatenate([[True], keys[1:] != keys[:-1]])
             part = model.share(keys[fresh])[np.cumsum(fresh) - 1]
+            del fresh
             yield _sent(_dealt(part, keys, *rest))
 
     def write_triples(part, pairs, words, n):
         hashes = triple_hashes(pairs, words)
         by = np.argsort(hashes)
         write_arrays(f"{folder}/triple-{part}", *_forty(hashes[by]), *_counts(n[by]))
+        del hashes, by
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         keys = pairs[first]
         write_arrays(f"{folder}/pair-{part}", keys[:1].astype("<u8"), *_forty(keys - keys[0]), *_coded(_facts(np.add.reduceat(n, first), n, first)))
-        follow, m = np.unique((pairs % base) * base + words, return_counts=True)
+        del first, keys
+        low = int(pairs[0])
+        follow = (pairs % base) * base + words
+        del pairs, words
+        follow, m = np.unique(follow, return_counts=True)
         yield _sent(_dealt(model.share(follow), follow, m))
-        yield _report(3, part, n, int(keys[0]))
+        yield _report(3, part, n, low)
 
     def write_pairs(part, keys, n):
         if order == 2 or int(part) not in held:
@@ -576,7 +597,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         base, start = np.uint64(m.base), m.words
-        for texts in sliced((b.fillna("") for b in batches), None, CHARS * FLUSH):
+        for texts in sliced((b.fillna("") for b in batches), None, CHARS * FLUSH // 2):
             t = _Tokens(texts)
             names, at = np.unique(t.hashes, return_inverse=True)
             ids = m.ids(names)

@@ -383,6 +383,42 @@ def plain_model(texts, order):
     return single, p
 
 
+def test_language_model_holds_its_arrays_once(monkeypatch):
+    """Texts are gathered to the bound and a quarter, not to twice the bound; sorting needs less than two more copies of its columns."""
+    import tracemalloc
+
+    import pandas as pd
+
+    monkeypatch.setattr(kneser_ney, "FLUSH", 1000)
+    batches = [pd.DataFrame({"t": ["abcdefghi " * 10] * 500}) for _ in range(3)]
+    sizes = [int(b["t"].str.len().sum()) for b in kneser_ney._gathered(iter(batches), "t")]
+    assert sum(sizes) == 150_000 and max(sizes) <= 1.25 * kneser_ney.CHARS * 1000
+    blobs = [kneser_ney._pack(np.arange(300_000, dtype=np.uint64) * 3, np.full(300_000, k, np.uint64), np.ones(300_000, np.int64)) for k in range(4)]
+    rows = pd.DataFrame({"part": [0] * 4, "blob": blobs})
+    held = []
+
+    class Rows:
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return list(run(iter([rows])))
+
+    def work(part, *columns):
+        held.append((tracemalloc.get_traced_memory()[0], [len(c) for c in columns], int(columns[-1].sum())))
+        yield part
+
+    tracemalloc.start()
+    kneser_ney._by_part(Rows(), 1, work)
+    (now, lengths, total), most = held[0], tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths == [1_200_000] * 3 and total == 1_200_000
+    assert now < 1.1 * 24 * 1_200_000 and most < 2.5 * 24 * 1_200_000, (now, most)
+
+
 @pytest.mark.parametrize("order", (2, 3))
 def test_language_model_is_the_plain_one(spark, order, monkeypatch):
     monkeypatch.setattr(kneser_ney, "FLUSH", 500)

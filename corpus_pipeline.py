@@ -1,7 +1,8 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each one's rows as Parquet to the shared folder and
-hands them, read again, to the next. All but the last return the columns of their docs, whatever these are.
+hands them, read again, to the next. All but the last return the columns of their docs, whatever these are. The files of the mixing
+stage hold the schedule as the order of their rows, which packing keeps.
 """
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from quarry.llm._common import free_names, saved, table
 from quarry.llm.jaccard import jaccard_components
 from quarry.llm.line_dedup import line_dedup
 from quarry.llm.mixing import mix_sources
-from quarry.llm.packing import in_schedule, pack, token_pieces
+from quarry.llm.packing import ORDER, in_order, pack, token_pieces, with_ranks
 from quarry.llm.quality import fit_quality, grades_of, score_quality
 
 #: Pieces of the schedule that are packed together, about: fewer keep closer to the targets, more leave less room empty.
@@ -61,15 +62,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place in it. The sequences, by their ids, follow the schedule of `mixing`.
+    """Token pieces with their sequence and place in it. The sequences, by their ids, follow the order of docs.
 
-    Rows read from Parquet have no order, so the schedule of the same documents is computed again, without their texts.
+    That is the schedule of `mixing`, as its rows stand in the files: by the number of the file, then by the place in it.
     """
-    numbered = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("row"))
-    pieces = saved(token_pieces(numbered, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, carry=("row", "source")), "pieces")
-    slots = mix_sources(pieces.where("piece = 0").select("row", "doc_id", "source")).select("row", "slot", "place")
-    ordered = saved(in_schedule(saved(pieces.drop("source").join(slots, "row").drop("row"), "mixed")), "ordered")
-    return pack(ordered, capacity=4096, block_pieces=MIX_PIECES)
+    numbered = in_order(docs.select("doc_id", "text"))
+    pieces = saved(token_pieces(numbered, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, carry=ORDER), "pieces")
+    return pack(saved(with_ranks(pieces), "ordered"), capacity=4096, block_pieces=MIX_PIECES)
 
 
 STAGES = [

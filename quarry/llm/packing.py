@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from quarry.llm.token_counts import encoder, vocabulary
 
 #: Pieces that one task packs. A block leaves at most about one bin part empty, so larger blocks waste less.
 BLOCK_PIECES = 16_384
-#: Slots of a schedule whose pieces one task numbers.
-RUN_SLOTS = 64
+#: Rows of a file whose pieces one task numbers.
+RUN_ROWS = 1024
+#: Columns that say where a row stands among the rows of a table.
+ORDER = ("file", "row")
 
 
 def best_two_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -98,16 +101,31 @@ def token_pieces(df: DataFrame, vocabulary_path: str, end_id: int, capacity: int
     return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), *carry).mapInPandas(cut, schema)
 
 
-def in_schedule(pieces: DataFrame) -> DataFrame:
-    """pieces with `rank`, their number in the order (slot, place, piece), in place of slot and place.
+def in_order(df: DataFrame) -> DataFrame:
+    """df with the columns ORDER: where each row stands in the order in which df was written, or has now if it comes from no files.
 
-    Runs of slots are numbered each by itself; one task adds up the runs, not their pieces. Read twice: pass a table that is written.
+    Spark names files by the number of their task, and a task's second and later files by a further number; a sorted table's tasks
+    follow each other. Files with other names follow each other by their paths.
     """
-    run = pieces.withColumn("__run", F.expr(f"slot div {RUN_SLOTS}"))
-    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = run.groupBy("__run").agg(F.count(F.lit(1)).alias("__n")).select("__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    at = Window.partitionBy("__run").orderBy("slot", "place", "piece")
-    return run.withColumn("__at", F.row_number().over(at) - 1).join(bases, "__run").withColumn("rank", F.col("__at") + F.col("__base")).drop("__run", "__at", "__base", "slot", "place")
+    try:
+        at = df.metadataColumn("_metadata")
+        named = df.withColumns({"file": at["file_path"], "row": at["row_index"]})
+    except AnalysisException:
+        return df.withColumns({"file": F.lit(""), "row": F.monotonically_increasing_id()})
+    number = lambda pattern: F.lpad(F.regexp_extract(F.element_at(F.split("file", "/"), -1), pattern, 1), 20, "0")
+    return named.withColumn("file", F.concat(number(r"^part-(\d+)"), number(r"-c(\d+)\."), "file"))
+
+
+def with_ranks(pieces: DataFrame) -> DataFrame:
+    """pieces with `rank`, their number in the order (file, row, piece), in place of file and row.
+
+    Runs of rows are numbered each by itself; one task adds up the runs, not their pieces. Read twice: pass a table that is written.
+    """
+    run = pieces.withColumn("__run", F.expr(f"row div {RUN_ROWS}"))
+    before = Window.orderBy("file", "__run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = run.groupBy("file", "__run").agg(F.count(F.lit(1)).alias("__n")).select("file", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    at = Window.partitionBy("file", "__run").orderBy("row", "piece")
+    return run.withColumn("__at", F.row_number().over(at) - 1).join(bases, ["file", "__run"]).withColumn("rank", F.col("__at") + F.col("__base")).drop("__run", "__at", "__base", "file", "row")
 
 
 def pack(pieces: DataFrame, capacity: int, block_pieces: int = BLOCK_PIECES) -> DataFrame:

@@ -702,6 +702,27 @@ def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
     assert len(worst) > 50 and max(worst) < 0.08, (len(worst), max(worst))
 
 
+def test_pipeline_packs_in_the_order_of_the_rows(spark, tmp_path, monkeypatch):
+    """What mixing decides takes effect: packing follows the rows as they were written, through many files, and computes no schedule."""
+    import corpus_pipeline
+
+    n = 5000
+    order = [int(i) for i in np.random.default_rng(6).permutation(n)]
+    mixed = spark.createDataFrame([(i, k, "word " * (1 + i % 90), f"s{i % 3}") for k, i in enumerate(order)], "doc_id long, k long, text string, source string")
+    monkeypatch.setattr(corpus_pipeline, "MIX_PIECES", 200)
+    for way, files, conf in (("sorted", 12, {}), ("cut", 3, {"maxRecordsPerFile": 301})):
+        mixed.repartitionByRange(files, "k").sortWithinPartitions("k").drop("k").write.options(**conf).parquet(str(tmp_path / way))
+        docs = spark.read.parquet(str(tmp_path / way))
+        assert len(docs.inputFiles()) > files - 1
+        pieces = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+        blocks = defaultdict(set)
+        for r in pieces:
+            blocks[r["sequence_id"] >> 32].add(r["doc_id"])
+        assert [blocks[b] for b in sorted(blocks)] == [set(order[at : at + 200]) for at in range(0, n, 200)]
+    pieces = corpus_pipeline.packing(spark, mixed.orderBy("k").drop("k"), str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces if r["sequence_id"] >> 32 == 0} == set(order[:200])
+
+
 # ---- shared
 
 
